@@ -6,7 +6,7 @@ from __future__ import annotations
 _CRC = """
 crc_table AS (
   SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
     FROM (SELECT unnest(range(256)) AS i))
 )"""
 
@@ -16,8 +16,8 @@ d AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
 sized AS (
   SELECT doc_id, CAST(strlen(s) + 1 AS BIGINT) AS size, substr(md5(s), 1, 16) AS key,
          CAST(xor(4294967295, list_reduce(
-           list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(s)), '..'), x -> CAST('0x' || x AS BIGINT))),
-           (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32
   FROM d, crc_table),
 run AS (
   SELECT *, sum(size) OVER (ORDER BY key, doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto,
@@ -44,7 +44,7 @@ m AS (
          CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(dup.n_lines, 0) AS n_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(s, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(s, '[^a-z]', '', 'g')) AS n_lower,
-         len(list_filter(ws, x -> x LIKE '%!!')) AS n_shouts
+         len(list_filter(ws, lambda x: x LIKE '%!!')) AS n_shouts
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
 bits AS (
   SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
@@ -53,4 +53,37 @@ bits AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, rule_bits & 3 <> 0 AS base_failed, rule_bits = 0 AS kept, rule_bits FROM bits
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op9_sharding": OP9}
+OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS low FROM win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+bad AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(ws) AS n, coalesce(len(ps), 0) AS r,
+         CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS k
+  FROM d LEFT JOIN bad USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM (
+    SELECT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.c + y.c - i)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, seen) AS (
+  SELECT a, a FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+low AS (SELECT doc_id, min(seen) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(c, 0) AS BIGINT) AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2, "op5_quality_rules": OP5, "op9_sharding": OP9, "op10_minhash_near_dedup": OP10}
