@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import langid, packing, quality, queries
+from orrery.llm import langid, minhash, packing, quality, queries, substring
 from orrery.llm.runtime import table
 
 
@@ -16,6 +16,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.filter_quality(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.edit_repeats(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.tokenizer("word_bpe_49k.json"), 4096)
 
@@ -23,6 +31,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("quality_rules", keep_quality),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", remove_repeats),
     ("best_fit_packing", pack_sequences),
 ]
 
