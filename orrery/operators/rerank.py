@@ -1,0 +1,57 @@
+"""Re-ranking: which estimated rows need an exact distance, and the final top-k."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import vector as V
+from orrery.operators import collector
+from orrery.operators.knn import top_k
+
+
+def exact_distances(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, vec_id, dist of the given pairs: full vectors are joined only for these."""
+    both = pairs.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "q"), "qid")
+    return both.select("qid", "vec_id", V.sqr_l2(F.col("q"), F.col("embedding")).alias("dist"))
+
+
+def kth_smallest(scored: DataFrame, k: int, column: str, out: str) -> DataFrame:
+    """qid and the k-th smallest value of a column; null where there are fewer."""
+    nth = Window.partitionBy("qid").orderBy(column, "vec_id")
+    ranked = scored.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k)
+    return ranked.groupBy("qid").agg(F.max(F.when(F.col("nth") == k, F.col(column))).alias(out))
+
+
+def classify(scored: DataFrame, k: int, logical: int = 256) -> DataFrame:
+    """scored (qid, vec_id, est, lb, ub) with buckets and a class for each row.
+
+    ``drop``: its lower bound is at or beyond the threshold bucket.  ``accept``: its upper bound lies below every
+    bucket in which a row may still be replaced.  ``verify``: the interval holds the threshold, or overlaps such rows.
+    """
+    ends = scored.groupBy("qid").agg(F.min("lb").alias("low"), F.max("ub").alias("hi")).select("qid", "low", ((F.col("hi") - F.col("low")) / logical).alias("delta"))
+    bucketed = collector.with_buckets(scored, ends, logical, b_lb="lb", b_ub="ub")
+    th = collector.threshold(collector.histogram(bucketed, "b_ub"), k, logical)
+    marked = bucketed.join(F.broadcast(th), "qid")
+    open_rows = marked.where((F.col("b_ub") >= F.col("th") - 1) & (F.col("b_lb") < F.col("th")))
+    safe = open_rows.groupBy("qid").agg(F.min("b_lb").alias("safe"))  # fewer than k rows end below the last bucket
+    edge = marked.join(F.broadcast(safe), "qid", "left").withColumn("safe", F.least(F.coalesce("safe", F.col("th") - 1), F.col("th") - 1))
+    accept = F.col("b_ub") < F.col("safe")
+    return edge.withColumn("class", F.when(F.col("b_lb") >= F.col("th"), "drop").when(accept, "accept").otherwise("verify")).drop("safe")
+
+
+def bucket_search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, logical: int = 256) -> DataFrame:
+    """qid, rank, vec_id, dist, exact: accepted rows report their lower bound, all others an exact distance."""
+    marked = classify(scored, k, logical)
+    accepted = marked.where(F.col("class") == "accept").select("qid", "vec_id", F.col("lb").alias("dist"), F.lit(False).alias("exact"))
+    verified = exact_distances(marked.where(F.col("class") == "verify").select("qid", "vec_id"), vectors, queries).withColumn("exact", F.lit(True))
+    # accepted rows come first: they are certain; the remaining places go to the nearest verified rows
+    both = accepted.unionByName(verified)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("exact", "dist", "vec_id"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist", "exact")
+
+
+def pq_bucket_search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, num_cand: int, k: int, logical: int = 256) -> DataFrame:
+    """qid, rank, vec_id, dist: buckets below the num_cand threshold are measured whole, the threshold bucket by estimate."""
+    best = collector.bucket_top_k(scored.select("qid", "vec_id", "est"), num_cand, logical, dist="est").select("qid", "vec_id")
+    return top_k(exact_distances(best, vectors, queries), k).select("qid", "rank", "vec_id", "dist")
