@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import htmltext, langid, minhash, packing, quality, sharding, substring
+from orrery.llm import ann, htmltext, langid, minhash, packing, quality, sharding, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), every=50, k=5)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -57,5 +61,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_substring_dedup, op3_best_fit_packing, op5_quality_rules, op7_html_extraction, op8_language_id, op9_sharding, op10_minhash_near_dedup)
+    for f in (op2_substring_dedup, op3_best_fit_packing, op5_quality_rules, op6_nearest_neighbours, op7_html_extraction, op8_language_id, op9_sharding, op10_minhash_near_dedup)
 }
