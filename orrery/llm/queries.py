@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, htmltext, langid, minhash, packing, quality, sharding, substring
+from orrery.llm import ann, bpe, htmltext, langid, lm, minhash, packing, quality, sharding, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def tokenizer(name: str) -> str:
         return f.read()
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.parse_ranks(tokenizer("byte_bpe_multi_50k.tiktoken"))
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -30,6 +36,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 4096)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     return entries.select(
@@ -61,5 +71,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_substring_dedup, op3_best_fit_packing, op5_quality_rules, op6_nearest_neighbours, op7_html_extraction, op8_language_id, op9_sharding, op10_minhash_near_dedup)
+    for f in (op1_byte_bpe, op2_substring_dedup, op3_best_fit_packing, op4_lm_scoring, op5_quality_rules, op6_nearest_neighbours, op7_html_extraction, op8_language_id, op9_sharding, op10_minhash_near_dedup)
 }
