@@ -1,15 +1,18 @@
 """Byte-level BPE by Spark higher-order functions.
 
-A task splits its texts into pieces and names each distinct one.  Distinct pieces alone are encoded, by an
-expression: ``aggregate`` folds one merge after another over the array of a piece's bytes, each time the
-adjacent pair of lowest rank (the leftmost of equals), until no pair has a rank.  The ranks are a literal: an
-array of small maps, addressed by a hash of the key, so that a look-up reads one short map.  The ids of the
-distinct pieces then replace the pieces of each text in order.  Decoding concatenates the byte strings of ids.
-
-Bytes are carried as characters U+0000 to U+00FF, one each, so that string functions act on bytes.
-
-Nothing is shuffled: a piece is folded once for each task (and again after ``DISTINCT`` others).  Defined
-results: null and empty texts have no ids; texts of any length are read whole; repeated rows are encoded one
+Groups of documents split their texts into pieces and send each distinct one to a hash range.  There the
+distinct pieces of all groups are encoded, once each, by an expression: ``aggregate`` folds one merge after another over the array of a piece's bytes, each time the
+adjacent pair of lowest rank (the leftmost of equals), until no pair has a rank.  The ids of the distinct
+pieces then replace the pieces of each text in order.  Decoding concatenates the byte strings of ids.
+
+The ranks are a literal map from pairs of ids to the id of their bytes, laid out as a perfect hash of two
+arrays (a displacement for each bucket, then the entry itself with its key), so a look-up reads two elements.
+An element of the folded array holds, from the top, the rank of its pair with the next, its place in the
+piece and its id: the least element is the merge to make.  A token that no merges of its own bytes lead to
+still stands for a piece equal to it; those few are a second, small literal.
+
+Texts are shuffled once; of pieces, a group sends a distinct one once, so that a piece which all documents
+have reaches its range once a group.  Defined results: null and empty texts have no ids; texts of any length are read whole; repeated rows are encoded one
 by one; an empty table gives an empty result; a null doc_id is kept; other columns are ignored.  A piece of n
 bytes takes up to n folds of n steps, so a single word of 100,000 letters takes seconds.
 """
@@ -22,16 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm import packed as pk
 from orrery.llm import textblocks as tb
-from orrery.llm.runtime import arrow_limits
+from orrery.llm.runtime import arrow_limits, groups_for, text_bytes
 
-SLOTS, NONE = 1 << 15, 2**31 - 1
-#: Distinct pieces that a task remembers before it starts again; text bytes that it splits at a time.
-DISTINCT, SPLIT_BYTES = 1 << 19, 1 << 20
+#: Bits of an id and of a place; the rank is above them.
+ID_BITS, PLACE_BITS = 17, 24
+NONE = (1 << ID_BITS) - 1
+_TOP = ID_BITS + PLACE_BITS
+BUCKETS, FACTOR = 65521, 40503
+#: Text bytes of a group, and of what a range answers for.
+GROUP_BYTES, RANGE_BYTES = 8 << 20, 2 << 20
 
 
 def parse_ranks(text: str) -> dict[bytes, int]:
@@ -39,20 +46,64 @@ def parse_ranks(text: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines() if line)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: slot i has the keys whose hash is i modulo SLOTS."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        slots[xxhash.xxh64_intdigest(key.encode(), seed=42) % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+def merge_bytes(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold in plain Python, for the driver's look at the vocabulary itself."""
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
+        if rank == NONE:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
 
 
-def rank_of(table: Column, key: Column) -> Column:
-    """The rank of a byte string, or NONE."""
-    # SLOTS is a power of two, so a signed remainder equals that of the unsigned hash
-    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int") + 1
-    return F.coalesce(F.element_at(F.element_at(table, slot), key), F.lit(NONE))
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """(displacements, entries): the perfect hash of all pairs of ids whose bytes together are a token."""
+    keys, values = [], []
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                keys.append(left << ID_BITS | right)
+                values.append(rank)
+    key, value = np.array(keys, np.int64), np.array(values, np.int64)
+    size = next(n for n in range(2 * len(key) + 11, 1 << 40) if all(n % f for f in range(2, int(n**0.5) + 1)))
+    bucket, home = key % BUCKETS, key * FACTOR % size
+    entries, shift = [-1] * size, [0] * BUCKETS
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(bucket.tolist()):
+        groups.setdefault(b, []).append(i)
+    homes, full = home.tolist(), (key << ID_BITS | value).tolist()
+    for b, g in sorted(groups.items(), key=lambda x: -len(x[1])):
+        if len({homes[i] for i in g}) < len(g):
+            raise ValueError("two pairs of one bucket share a home")
+        d = next(d for d in range(size) if all(entries[(homes[i] + d) % size] < 0 for i in g))
+        shift[b] = d
+        for i in g:
+            entries[(homes[i] + d) % size] = full[i]
+    return shift, entries
+
+
+class Ranks:
+    """A vocabulary of ranks with its literals."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) >= NONE or any(bytes([i]) not in ranks for i in range(256)):
+            raise ValueError(f"ranks must lie below {NONE} and cover every byte")
+        self.ranks = ranks
+        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        shift, entries = pair_table(ranks)
+        self.size = len(entries)
+        self.unreached = {t.decode("latin-1"): r for t, r in ranks.items() if len(t) > 1 and merge_bytes(t, ranks) != [r]}
+        self.table = F.from_json(F.lit(json.dumps({"shift": shift, "entries": entries})), "shift array<int>, entries array<bigint>")
+
+
+def rank_of(table: Column, size: int, left: Column, right: Column) -> Column:
+    """The id of the bytes of two ids together, or NONE (also where one is null)."""
+    key = F.shiftleft(left, ID_BITS).bitwiseOR(right)
+    home = F.get(table["shift"], (key % BUCKETS).cast("int")) + key * FACTOR
+    entry = F.get(table["entries"], (home % size).cast("int"))
+    return F.coalesce(F.when(F.shiftright(entry, ID_BITS) == key, entry.bitwiseAND(F.lit(NONE).cast("long"))), F.lit(NONE).cast("long"))
 
 
 def let(value: Column, body) -> Column:
@@ -60,100 +111,163 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_piece(piece: Column, table: Column) -> Column:
-    """The ids of one piece, whose characters are bytes."""
-    n = F.length(piece)
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank_of(table, F.substring(piece, i, F.lit(2))))
+def element(rank: Column, place_and_id: Column) -> Column:
+    return F.shiftleft(rank, _TOP).bitwiseOR(place_and_id)
+
 
-    def merge(state: Column, at: Column) -> Column:
-        parts, pairs = state["parts"], state["pairs"]
-        both = F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))
-        end = F.size(pairs)
+def encode_piece(piece: Column, table: Column, size: int) -> Column:
+    """The ids of a piece, given as the ids of its bytes (bigint)."""
+    id_of = lambda e: e.bitwiseAND(F.lit(NONE).cast("long"))
+    low = lambda e: e.bitwiseAND(F.lit((1 << _TOP) - 1))
+    start = F.transform(piece, lambda x, i: element(rank_of(table, size, x, F.get(piece, i + 1)), F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(x)))
 
-        def around(both: Column) -> Column:
-            left = F.when(at > 1, F.array(rank_of(table, F.concat(F.element_at(parts, at - 1), both)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < end, F.array(rank_of(table, F.concat(both, F.element_at(parts, at + 2))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(both), F.slice(parts, at + 2, end)).alias("parts"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, end)).alias("pairs"),
-            )
+    def merge(state: Column, least: Column) -> Column:
+        made = F.shiftright(least, _TOP)
+        place = least.bitwiseAND(F.lit((1 << _TOP) - 1 - NONE))
 
-        return let(both, around)
+        def at(i: Column) -> Column:
+            left = F.transform(F.slice(state, F.greatest(i - 1, F.lit(1)), F.least(i - 1, F.lit(1))), lambda e: element(rank_of(table, size, id_of(e), made), low(e)))
+            both = element(rank_of(table, size, made, id_of(F.get(state, i + 1))), place.bitwiseOR(made))
+            return F.concat(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(both), F.slice(state, i + 2, F.size(state)))
+
+        return let(F.array_position(state, least).cast("int"), at)
 
     def step(state: Column, _: Column) -> Column:
-        low = F.array_min(state["pairs"])
-        return F.when(F.coalesce(low, F.lit(NONE)) < NONE, let(F.array_position(state["pairs"], low).cast("int"), lambda at: merge(state, at))).otherwise(state)
+        return let(F.array_min(state), lambda least: F.when(F.shiftright(least, _TOP) < NONE, merge(state, least)).otherwise(state))
 
-    start = F.struct(parts.alias("parts"), pairs.alias("pairs"))
-    folded = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: F.transform(state["parts"], lambda p: rank_of(table, p)))
-    whole = rank_of(table, piece)
-    return F.when((n < 2) | (whole < NONE), F.array(whole)).otherwise(folded)
+    return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), start, step, lambda state: F.transform(state, id_of))
 
 
-def _split(pattern: str):
-    """One row for each block: its ids, pieces of each text, pieces as numbers, and the pieces that are new."""
+def encode_pieces(pieces: Column, vocabulary: Ranks) -> Column:
+    """The ids of every piece; the literal is bound once, so a task holds one copy of it."""
+    return let(vocabulary.table, lambda table: F.transform(pieces, lambda p: encode_piece(p, table, vocabulary.size)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Pieces:
+    """The pieces of one group: numbers of each text's pieces, and the distinct ones by hash range, then by bytes."""
+
+    def __init__(self, rows: pa.Table, pattern: str, ranges: int):
         import regex
 
         find = regex.compile(pattern).findall
         known: dict[str, int] = {}
-        for block in (x for batch in batches for x in tb.blocks(batch, most=SPLIT_BYTES)):
-            fresh = len(known) > DISTINCT
-            if fresh:
-                known = {}
-            first, sizes, numbers = len(known), [], []
-            for text in block["text"].to_pylist():
-                pieces = find(text) if text else []
-                sizes.append(len(pieces))
-                numbers += [known.setdefault(p, len(known)) for p in pieces]
-            new = [p.encode().decode("latin-1") for p in list(known)[first:]]
-            yield pa.record_batch([
-                pa.array([block["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()),
-                pa.array([np.array(numbers, np.int32).tobytes()], pa.binary()), pa.array([new], pa.list_(pa.string())), pa.array([fresh]),
-            ], ["doc_ids", "sizes", "numbers", "pieces", "fresh"])
+        sizes, numbers = [], []
+        for batch in rows.select(["text"]).to_batches():
+            for block in tb.blocks(batch, most=1 << 20):
+                found = [find(t) if t else [] for t in block["text"].to_pylist()]
+                sizes += map(len, found)
+                numbers.append(np.fromiter((known.setdefault(p, len(known)) for f in found for p in f), np.int32))
+        raw = [p.encode() for p in known]
+        self.sizes = np.array(sizes, np.int64)
+        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        size = np.array([len(raw[i]) for i in order], np.int64)
+        joined = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
+        end = np.cumsum(size)
+        h = tb.spans(tb.prefix(tb._BYTE[joined], tb._BASE), end - size, end, tb._BASE) if len(raw) else np.zeros(0, np.uint64)
+        part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        self.part, self.raw = part[by], [raw[i] for i in order[by].tolist()]
+        place = np.empty(len(raw), np.int64)
+        place[order[by]] = np.arange(len(raw))
+        self.numbers = place[np.concatenate(numbers)] if numbers else np.zeros(0, np.int64)
+
+
+def _send(pattern: str, ranges: int):
+    def run(rows: pa.Table) -> pa.Table:
+        p = Pieces(rows, pattern, ranges)
+        full, first = np.unique(p.part, return_index=True)
+        cut = [*first.tolist(), len(p.raw)]
+        runs = [p.raw[a:z] for a, z in zip(cut, cut[1:])]
+        return pa.table({
+            "grp": pa.array([rows["grp"][0].as_py()] * len(runs), pa.int64()), "rng": pa.array(full, pa.int64()),
+            "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([b"".join(r) for r in runs], pa.binary()),
+        })
 
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids of every text from the ids of its task's pieces."""
-    flat, at = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+def _distinct(byte_ids: np.ndarray, unreached: dict[str, int]):
+    """One row a range: the senders, how many pieces each sent, their numbers, and the distinct pieces as byte ids."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        numbers, counts = [], []
+        for sizes, raw in zip(rows["sizes"].to_pylist(), rows["raw"].to_pylist()):
+            end = np.cumsum(pk.unplanes(sizes, np.uint32).astype(np.int64)).tolist()
+            numbers.append(np.fromiter((known.setdefault(raw[a:z], len(known)) for a, z in zip([0, *end], end)), np.int32, len(end)))
+            counts.append(len(end))
+        parts = [np.array([unreached[k]], np.int64) if (k := p.decode("latin-1")) in unreached else byte_ids[np.frombuffer(p, np.uint8)].astype(np.int64) for p in known]
+        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)))
+        one = lambda x: pa.array([x], pa.list_(pa.int64()))
+        return pa.table({
+            "rng": pa.array([rows["rng"][0].as_py()], pa.int64()), "grps": one(rows["grp"].to_pylist()), "counts": one(counts),
+            "numbers": pa.array([np.concatenate(numbers).tobytes()], pa.binary()), "pieces": pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), lists),
+        })
+
+    return run
+
+
+def gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(concatenated runs flat[at[i]:at[i + 1]] for i in which, lengths)."""
+    n = at[which + 1] - at[which]
+    before = np.cumsum(n) - n
+    return flat[np.arange(int(n.sum())) + np.repeat(at[which] - before, n)], n
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            if batch["fresh"][i].as_py():
-                at = at[:1]
-            new = batch["coded"][i].values
-            if new is not None and len(new):
-                ids, n = new.flatten().to_numpy().astype(np.uint32), np.diff(new.offsets.to_numpy())
-                used = int(at[-1])
-                while used + len(ids) > len(flat):
-                    flat = np.concatenate([flat, np.zeros_like(flat)])
-                flat[used : used + len(ids)] = ids
-                at = np.concatenate([at, used + np.cumsum(n)])
-            sizes = np.frombuffer(batch["sizes"][i].as_py(), np.int32)
+            coded = batch["coded"][i].values
+            flat, at = coded.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), coded.offsets.to_numpy().astype(np.int64)
+            at = at - at[0]
             numbers = np.frombuffer(batch["numbers"][i].as_py(), np.int32)
-            n = at[numbers + 1] - at[numbers]
-            before = np.cumsum(n) - n
-            out = flat[np.arange(int(n.sum())) + np.repeat(at[numbers] - before, n)] if len(n) else np.zeros(0, np.uint32)
-            off = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])] * 4
-            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
-            yield pa.record_batch([batch["doc_ids"][i].values, pa.array(np.diff(off) // 4, pa.int64()), ids.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids, sizes, s = [], [], 0
+            for n in batch["counts"][i].as_py():
+                out, size = gather(flat, at, numbers[s : s + n])
+                ids.append(pk.planes(out))
+                sizes.append(pk.planes(size.astype(np.uint32)))
+                s += n
+            grps = batch["grps"][i].as_py()
+            yield pa.record_batch([pa.array(grps, pa.int64()), pa.array([batch["rng"][i].as_py()] * len(grps), pa.int64()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["grp", "rng", "sizes", "ids"])
+
+
+def _assemble(pattern: str, ranges: int):
+    """The ids of every text of a group from the answers to its pieces."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+        p = Pieces(rows, pattern, ranges)
+        found = sorted(zip(answers["rng"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist()))
+        sizes = np.concatenate([np.zeros(0, np.int64), *(pk.unplanes(x, np.uint32).astype(np.int64) for _, x, _ in found)])
+        if len(sizes) != len(p.raw):
+            raise ValueError(f"{len(sizes)} answers to {len(p.raw)} pieces")
+        flat = np.concatenate([np.zeros(0, np.uint32), *(pk.unplanes(x, np.uint32) for _, _, x in found)])
+        out, n = gather(flat, np.concatenate([[0], np.cumsum(sizes)]), p.numbers)
+        off = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(p.sizes)])] * 4
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(p.sizes), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
+        return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(np.diff(off) // 4, pa.int64()), "ids": ids.cast(pa.binary())})
+
+    return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Ranks, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text)."""
     arrow_limits(docs.sparkSession)
-    table = rank_literal(ranks)
-    split = docs.select("doc_id", "text").mapInArrow(_split(pattern), "doc_ids array<long>, sizes binary, numbers binary, pieces array<string>, fresh boolean")
-    coded = split.select("doc_ids", "sizes", "numbers", "fresh", F.transform("pieces", lambda p: encode_piece(p, table)).alias("coded"))
-    return coded.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+    _, size = text_bytes(docs)
+    groups, ranges = groups_for(size, GROUP_BYTES), groups_for(size, RANGE_BYTES)
+    grouped = docs.select("doc_id", "text").withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    sent = grouped.groupBy("grp").applyInArrow(_send(pattern, ranges), "grp long, rng long, sizes binary, raw binary")
+    distinct = sent.groupBy("rng").applyInArrow(_distinct(vocabulary.byte_ids, vocabulary.unreached), "rng long, grps array<long>, counts array<long>, numbers binary, pieces array<array<long>>")
+    coded = distinct.select("rng", "grps", "counts", "numbers", encode_pieces(F.col("pieces"), vocabulary).alias("coded"))
+    answers = coded.mapInArrow(_answer, "grp long, rng long, sizes binary, ids binary")
+    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_assemble(pattern, ranges), "doc_id long, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: Ranks) -> DataFrame:
     """doc_id, n_tokens, ids and the bytes they stand for."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: raw for raw, rank in shared.value.items()}
