@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textblocks as tb
-from orrery.llm.runtime import arrow_limits
+from orrery.llm.runtime import arrow_limits, hashed_sample
 
 WIDTH, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4, 5)
 SAMPLE, EPOCHS, STEP, BATCH = 4000, 8, 0.01, 64
@@ -127,14 +127,10 @@ def classify(model: ByteCnn, texts: pa.Array) -> np.ndarray:
 
 def training_windows(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(windows, label numbers, labels): two windows of each of at most ``sample`` rows (doc_id, text, lang)."""
-    key = F.xxhash64("doc_id", "text")
     size = F.octet_length("text")
     piece = lambda salt: F.substring(F.encode("text", "UTF-8"), F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(size - WIDTH, F.lit(0)) + 1).cast("int") + 1, F.lit(WIDTH))
-    rows = (
-        labelled.where("lang IS NOT NULL AND text IS NOT NULL AND octet_length(text) > 0")
-        .select(key.alias("k"), "lang", piece(1).alias("a"), piece(2).alias("b"))
-        .orderBy("k", "lang", "a").limit(sample).collect()
-    )
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND octet_length(text) > 0")
+    rows = hashed_sample(usable, sample, "doc_id", "text").select("lang", piece(1).alias("a"), piece(2).alias("b")).collect()
     langs = sorted({r.lang for r in rows})
     x, y = np.zeros((2 * len(rows), WIDTH), np.uint8), np.zeros(2 * len(rows), np.int64)
     for i, r in enumerate(rows):

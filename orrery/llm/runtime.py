@@ -61,3 +61,15 @@ def text_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:
 
 def groups_for(n_bytes: int, each: int = 8 << 20) -> int:
     return max(1, -(-n_bytes // each))
+
+
+def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows (all, if fewer) with the smallest hashes of their keys, for fitting models of bounded size.
+
+    Rows are first thinned by a bound on the hash to about twice as many, so that what tasks send to be
+    merged does not grow with their number.
+    """
+    h, total = F.xxhash64(*keys), df.count()
+    if total > 2 * n:
+        df = df.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * (2 * n / total)))
+    return df.orderBy(h, *keys).limit(n)
