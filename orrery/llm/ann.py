@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.runtime import table
+from orrery.llm.runtime import hashed_sample, table
 
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 128, 1024
 COPIES, COPY_RATIO, PROBE_RATIO, BEAM = 4, 1.15, 1.5, 128
@@ -125,7 +125,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def fit(vectors: DataFrame, total: int) -> CentroidGraph:
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = hashed_sample(vectors, SAMPLE, "vec_id").toArrow()
     x = unit(rows_of(sample["embedding"]))
     return CentroidGraph.of(balanced_centroids(x, max(1, min(MOST_LISTS, total // LIST_ROWS))))
 

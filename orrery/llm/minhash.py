@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     signed = table(signatures(docs), "signatures")
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join has an exchange of its own on either side and a large class can be split
+    classes = table(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "class_heads")
     classed = table(sets.join(classes, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
     reps = classed.where("bands IS NOT NULL")
 
