@@ -130,7 +130,8 @@ def training_windows(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndar
     size = F.octet_length("text")
     piece = lambda salt: F.substring(F.encode("text", "UTF-8"), F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(size - WIDTH, F.lit(0)) + 1).cast("int") + 1, F.lit(WIDTH))
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND octet_length(text) > 0")
-    rows = hashed_sample(usable, sample, "doc_id", "text").select("lang", piece(1).alias("a"), piece(2).alias("b")).collect()
+    short = usable.select(F.xxhash64("doc_id", "text").alias("k"), "lang", piece(1).alias("a"), piece(2).alias("b"))
+    rows = hashed_sample(short, sample, "k", "lang", "a").collect()
     langs = sorted({r.lang for r in rows})
     x, y = np.zeros((2 * len(rows), WIDTH), np.uint8), np.zeros(2 * len(rows), np.int64)
     for i, r in enumerate(rows):
