@@ -96,7 +96,7 @@ def sql(select: str, *ctes: str) -> str:
 
 
 def entries(source: str, column: str, keys: str, *ctes: str) -> str:
-    return sql(f"SELECT {keys}, CAST(i AS INT) AS i, round({column}[i + 1], 5) AS x FROM (SELECT {keys}, {column}, unnest(range(len({column}))) AS i FROM {source})", *ctes)
+    return sql(f"SELECT {keys}, CAST(i AS INT) AS i, round({column}[i + 1], 5) + 0.0::DOUBLE AS x FROM (SELECT {keys}, {column}, unnest(range(len({column}))) AS i FROM {source})", *ctes)
 
 
 _NO_COUNT = "SELECT bin, round(low, 5) AS low, round(high, 5) AS high, lists FROM hb"

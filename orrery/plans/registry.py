@@ -51,7 +51,7 @@ def codewords(spark: SparkSession, d: str):
 
 def entries(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """A vector column as rows (keys, i, x)."""
-    return df.select(*keys, F.posexplode(column).alias("i", "x")).select(*keys, F.col("i").cast("int"), F.round("x", 5).alias("x"))
+    return df.select(*keys, F.posexplode(column).alias("i", "x")).select(*keys, F.col("i").cast("int"), (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 # --- vector functions -------------------------------------------------------------------------------------------
