@@ -39,6 +39,8 @@ _TOP = ID_BITS + PLACE_BITS
 BUCKETS, FACTOR = 65521, 40503
 #: Text bytes of a group, and of what a range answers for.
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 2 << 20
+#: Bytes of rows that a task gathers before it packs them by group.
+PACK_BYTES = 16 << 20
 
 
 def parse_ranks(text: str) -> dict[bytes, int]:
@@ -143,41 +145,70 @@ def encode_pieces(pieces: Column, vocabulary: Ranks) -> Column:
     return let(vocabulary.table, lambda table: F.transform(pieces, lambda p: encode_piece(p, table, vocabulary.size)))
 
 
-class Pieces:
-    """The pieces of one group: numbers of each text's pieces, and the distinct ones by hash range, then by bytes."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task by group, as compressed Arrow streams: less to shuffle, and to hold, than texts."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        grp = rows["grp"].to_numpy()
+        order = np.argsort(grp, kind="stable")
+        full, first = np.unique(grp[order], return_index=True)
+        blobs = []
+        for part in np.split(order, first[1:]):
+            sink = pa.BufferOutputStream()
+            own = rows.select(["doc_id", "text"]).take(pa.array(part))
+            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                out.write_table(own)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "blob"])
 
-    def __init__(self, rows: pa.Table, pattern: str, ranges: int):
-        import regex
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) > PACK_BYTES:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def unpack(rows: pa.Table) -> Iterator[pa.Table]:
+    for blob in rows["blob"]:
+        with pa.ipc.open_stream(blob.as_buffer()) as stream:
+            yield stream.read_all()
+
+
+def ordered(pieces: set[str], ranges: int) -> tuple[list[bytes], np.ndarray]:
+    """(pieces as bytes, hash range of each), by range, then by bytes."""
+    raw = sorted(p.encode() for p in pieces)
+    end = np.cumsum(np.array([len(x) for x in raw], np.int64))
+    start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(raw) else end
+    joined = np.frombuffer(b"".join(raw), np.uint8)
+    h = tb.spans(tb.prefix(tb._BYTE[joined], tb._BASE), start, end, tb._BASE) if len(raw) else np.zeros(0, np.uint64)
+    part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    return [raw[i] for i in by.tolist()], part[by]
 
-        find = regex.compile(pattern).findall
-        known: dict[str, int] = {}
-        sizes, numbers = [], []
-        for batch in rows.select(["text"]).to_batches():
-            for block in tb.blocks(batch, most=1 << 20):
-                found = [find(t) if t else [] for t in block["text"].to_pylist()]
-                sizes += map(len, found)
-                numbers.append(np.fromiter((known.setdefault(p, len(known)) for f in found for p in f), np.int32))
-        raw = [p.encode() for p in known]
-        self.sizes = np.array(sizes, np.int64)
-        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
-        size = np.array([len(raw[i]) for i in order], np.int64)
-        joined = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
-        end = np.cumsum(size)
-        h = tb.spans(tb.prefix(tb._BYTE[joined], tb._BASE), end - size, end, tb._BASE) if len(raw) else np.zeros(0, np.uint64)
-        part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        self.part, self.raw = part[by], [raw[i] for i in order[by].tolist()]
-        place = np.empty(len(raw), np.int64)
-        place[order[by]] = np.arange(len(raw))
-        self.numbers = place[np.concatenate(numbers)] if numbers else np.zeros(0, np.int64)
+
+def distinct_pieces(rows: pa.Table, find) -> set[str]:
+    found: set[str] = set()
+    for part in unpack(rows):
+        for text in part["text"]:
+            if text.is_valid:
+                found.update(find(text.as_py()))
+    return found
 
 
 def _send(pattern: str, ranges: int):
     def run(rows: pa.Table) -> pa.Table:
-        p = Pieces(rows, pattern, ranges)
-        full, first = np.unique(p.part, return_index=True)
-        cut = [*first.tolist(), len(p.raw)]
-        runs = [p.raw[a:z] for a, z in zip(cut, cut[1:])]
+        import regex
+
+        raw, part = ordered(distinct_pieces(rows, regex.compile(pattern).findall), ranges)
+        full, first = np.unique(part, return_index=True)
+        cut = [*first.tolist(), len(raw)]
+        runs = [raw[a:z] for a, z in zip(cut, cut[1:])]
         return pa.table({
             "grp": pa.array([rows["grp"][0].as_py()] * len(runs), pa.int64()), "rng": pa.array(full, pa.int64()),
             "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([b"".join(r) for r in runs], pa.binary()),
@@ -236,18 +267,24 @@ def _assemble(pattern: str, ranges: int):
     """The ids of every text of a group from the answers to its pieces."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
-        p = Pieces(rows, pattern, ranges)
+        import regex
+
+        find, doc_ids, texts = regex.compile(pattern).findall, [], []
+        known: dict[str, str] = {}
+        same = known.setdefault  # texts hold one object for each distinct piece
+        for table in unpack(rows):
+            doc_ids += table["doc_id"].to_pylist()
+            texts += [[same(p, p) for p in find(t.as_py())] if t.is_valid else [] for t in table["text"]]
+        raw, _ = ordered(set(known), ranges)
         found = sorted(zip(answers["rng"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist()))
         sizes = np.concatenate([np.zeros(0, np.int64), *(pk.unplanes(x, np.uint32).astype(np.int64) for _, x, _ in found)])
-        if len(sizes) != len(p.raw):
-            raise ValueError(f"{len(sizes)} answers to {len(p.raw)} pieces")
-        flat = np.concatenate([np.zeros(0, np.uint32), *(pk.unplanes(x, np.uint32) for _, _, x in found)])
-        out, n = gather(flat, np.concatenate([[0], np.cumsum(sizes)]), p.numbers)
-        off = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(p.sizes)])] * 4
-        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(p.sizes), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
-        return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(np.diff(off) // 4, pa.int64()), "ids": ids.cast(pa.binary())})
+        if len(sizes) != len(raw):
+            raise ValueError(f"{len(sizes)} answers to {len(raw)} pieces")
+        flat = b"".join(pk.unplanes(x, np.uint32).tobytes() for _, _, x in found)
+        end = (4 * np.cumsum(sizes)).tolist()
+        ids_of = {p.decode(): flat[a:z] for p, a, z in zip(raw, [0, *end], end)}
+        ids = [b"".join(map(ids_of.__getitem__, pieces)) for pieces in texts]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     return run
 
@@ -257,7 +294,8 @@ def encode(docs: DataFrame, vocabulary: Ranks, pattern: str) -> DataFrame:
     arrow_limits(docs.sparkSession)
     _, size = text_bytes(docs)
     groups, ranges = groups_for(size, GROUP_BYTES), groups_for(size, RANGE_BYTES)
-    grouped = docs.select("doc_id", "text").withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"))
+    grouped = marked.mapInArrow(_pack, "grp long, blob binary")
     sent = grouped.groupBy("grp").applyInArrow(_send(pattern, ranges), "grp long, rng long, sizes binary, raw binary")
     distinct = sent.groupBy("rng").applyInArrow(_distinct(vocabulary.byte_ids, vocabulary.unreached), "rng long, grps array<long>, counts array<long>, numbers binary, pieces array<array<long>>")
     coded = distinct.select("rng", "grps", "counts", "numbers", encode_pieces(F.col("pieces"), vocabulary).alias("coded"))
