@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orrery.config import BROADCAST_BYTES
 
@@ -50,7 +51,8 @@ def collect_vectors(df: DataFrame, key: str, column: str) -> tuple[np.ndarray, n
     return rows[key].to_numpy(), matrix(rows[column])
 
 
-def blocks(n: int, dim: int, each: int = BROADCAST_BYTES) -> list[slice]:
-    """Slices of n float64 vectors that each fit a broadcast."""
-    step = max(1, each // max(1, 8 * dim))
-    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+def query_parts(queries: DataFrame, column: str = "q", each: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """The queries, cut by a hash of qid into parts that each fit a broadcast; one part if all do."""
+    size = queries.agg(F.count(F.lit(1)), F.max(F.size(column))).first()
+    parts = max(1, -(-(size[0] * (size[1] or 1) * 8) // each))
+    return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]

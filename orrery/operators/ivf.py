@@ -102,20 +102,15 @@ class Probes:
         self.by_list = dict(zip(lists.tolist(), np.split(row[order], first[1:])))
 
 
-def probe_blocks(queries: DataFrame, probes: DataFrame) -> Iterator[Probes]:
-    """Bounded blocks of queries with their probes."""
-    qids, q = arrays.collect_vectors(queries, "qid", "q")
-    found = probes.select("qid", "cluster_id").toArrow()
-    pq, pc = found["qid"].to_numpy(), found["cluster_id"].to_numpy()
-    for b in arrays.blocks(len(q), q.shape[1] if q.size else 1):
-        mine = np.isin(pq, qids[b])
-        yield Probes(qids[b], q[b], pq[mine], pc[mine])
+def probes_of(part: DataFrame, centroids: DataFrame, nprobe: int) -> Probes:
+    """A bounded part of the queries with its probes."""
+    found = coarse_probe(part, centroids, nprobe).select("qid", "cluster_id").toArrow()
+    return Probes(*arrays.collect_vectors(part, "qid", "q"), found["qid"].to_numpy(), found["cluster_id"].to_numpy())
 
 
 def ivf_flat_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
     """qid, rank, vec_id, dist: exact distances inside the probed lists; lists carry cluster_id."""
     spark = lists.sparkSession
-    probes = coarse_probe(queries, centroids, nprobe)
 
     def scan(block: Probes) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -140,8 +135,8 @@ def ivf_flat_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame,
         wanted = F.col("cluster_id").isin([int(c) for c in block.by_list])
         return lists.where(wanted).select("cluster_id", "vec_id", "embedding").mapInArrow(score, FOUND)
 
-    parts = [scan(b) for b in probe_blocks(queries, probes)]
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
+    parts = [scan(probes_of(part, centroids, nprobe)) for part in arrays.query_parts(queries)]
+    found = reduce(DataFrame.unionByName, parts)
     return top_k(found, k).select("qid", "rank", "vec_id", "dist")
 
 

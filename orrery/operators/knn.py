@@ -24,13 +24,12 @@ def top_k(scored: DataFrame, k: int, dist: str = "dist", key: str = "qid", tie:
 def exact_knn_join(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, rank, vec_id, dist: for every query (qid, q) its k nearest rows of base (vec_id, embedding).
 
-    Query blocks of bounded size are broadcast; every partition of base reports its own k best of each query.
+    Parts of the queries, of bounded size, are broadcast; every partition of base reports its own k best of each query.
     """
-    qids, q = arrays.collect_vectors(queries, "qid", "q")
     spark = base.sparkSession
 
-    def scan(block: slice) -> DataFrame:
-        shared = spark.sparkContext.broadcast((qids[block], q[block]))
+    def scan(part: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(arrays.collect_vectors(part, "qid", "q"))
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, x = shared.value
@@ -47,8 +46,7 @@ def exact_knn_join(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return base.select("vec_id", "embedding").mapInArrow(nearest, FOUND)
 
-    parts = [scan(b) for b in arrays.blocks(len(q), q.shape[1] if q.size else 1)]
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
+    found = reduce(DataFrame.unionByName, [scan(part) for part in arrays.query_parts(queries)])
     return top_k(found, k).select("qid", "rank", "vec_id", "dist")
 
 

@@ -43,10 +43,14 @@ def test_exact_join(data):
     assert {r["count"] for r in everything} == {N}
 
 
-def test_query_blocks_give_the_same_rows(data, monkeypatch):
-    x, base, queries, _ = data
-    monkeypatch.setattr(arrays.blocks, "__defaults__", (3 * 8 * D,))
+def test_query_parts_give_the_same_rows(data, monkeypatch):
+    x, base, queries, centres = data
+    monkeypatch.setattr(arrays.query_parts, "__defaults__", ("q", 3 * 8 * D))
+    assert len(arrays.query_parts(queries)) == 4
     assert as_lists(knn.exact_knn_join(base, queries, K)) == exact(x, K)
+    assert as_lists(ivf.ivf_flat_search(ivf.assign(base, centres), queries, centres, C, K)) == exact(x, K)
+    none = queries.limit(0)
+    assert knn.exact_knn_join(base, none, K).count() == 0 and ivf.ivf_flat_search(ivf.assign(base, centres), none, centres, C, K).count() == 0
 
 
 def test_ivf_is_exact_over_all_lists_and_recall_grows(data):
