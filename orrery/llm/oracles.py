@@ -44,12 +44,13 @@ m AS (
          CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(dup.n_lines, 0) AS n_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(s, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(s, '[^a-z]', '', 'g')) AS n_lower,
-         len(list_filter(ws, lambda x: x LIKE '%!!')) AS n_shouts
+         len(list_filter(ws, lambda x: x LIKE '%!!')) AS n_shouts,
+         len(list_filter(range(1, greatest(len(ws), 1)), lambda i: ws[i] = ws[i + 1])) AS n_stutters
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
 bits AS (
   SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
          + 8 * (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::INT + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT
-         + 32 * (n_upper > n_lower)::INT + 64 * (10 * n_shouts > n_words)::INT AS BIGINT) AS rule_bits FROM m)
+         + 32 * (n_upper > n_lower)::INT + 64 * (10 * n_shouts > n_words)::INT + 128 * (10 * n_stutters > 3 * n_words)::INT AS BIGINT) AS rule_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, rule_bits & 3 <> 0 AS base_failed, rule_bits = 0 AS kept, rule_bits FROM bits
 """
 

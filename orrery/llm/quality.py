@@ -23,7 +23,7 @@ from orrery.llm import textblocks as tb
 from orrery.llm.runtime import arrow_limits
 
 #: Long measurements of a text.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts", "n_stutters")
 REPEAT = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -37,6 +37,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
     ("capitals", "n_upper > n_lower"),
     ("shouting", "10 * n_shouts > n_words"),
+    ("stutters", "10 * n_stutters > 3 * n_words"),
 )
 BASE = ("too_short", "repeats")
 #: Versioned policies: the rules whose failure rejects a document.
@@ -74,9 +75,11 @@ def _measure(texts: pa.Array) -> list[np.ndarray]:
 
     bang = b.data == ord("!")
     shouts = (b.end - b.start > 1) & bang[b.end - 1] & bang[np.maximum(b.end - 2, 0)] if len(b.h) else np.zeros(0, bool)
+    stutters = np.zeros(len(b.h), bool)
+    stutters[1:] = (b.h[1:] == b.h[:-1]) & (b.doc[1:] == b.doc[:-1])
     return [
         n_words, sums(lead & solid), sums(SYMBOLS[b.data]), dup_lines, tb.per_text(b, covered), n_lines,
-        sums((b.data >= 65) & (b.data <= 90)), sums((b.data >= 97) & (b.data <= 122)), tb.per_text(b, shouts),
+        sums((b.data >= 65) & (b.data <= 90)), sums((b.data >= 97) & (b.data <= 122)), tb.per_text(b, shouts), tb.per_text(b, stutters),
     ]
 
 
