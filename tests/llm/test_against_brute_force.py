@@ -219,6 +219,7 @@ def test_quality_measures(spark, docs, texts):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         cover = {p for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        assert r.n_stutters == sum(a == b for a, b in zip(w, w[1:]))
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.n_symbols) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(cover), len(re.findall(r"[#*$%&|<>]", t)))
     entries = quality.ledger(docs)
     report = quality.ablation(entries, "v1").first()
