@@ -233,7 +233,7 @@ def _distinct(byte_ids: np.ndarray, unreached: dict[str, int]):
         one = lambda x: pa.array([x], pa.list_(pa.int64()))
         return pa.table({
             "rng": pa.array([rows["rng"][0].as_py()], pa.int64()), "grps": one(rows["grp"].to_pylist()), "counts": one(counts),
-            "numbers": pa.array([np.concatenate(numbers).tobytes()], pa.binary()), "pieces": pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), lists),
+            "numbers": pa.array([pk.planes(np.concatenate(numbers))], pa.binary()), "pieces": pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), lists),
         })
 
     return run
@@ -252,7 +252,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coded = batch["coded"][i].values
             flat, at = coded.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), coded.offsets.to_numpy().astype(np.int64)
             at = at - at[0]
-            numbers = np.frombuffer(batch["numbers"][i].as_py(), np.int32)
+            numbers = pk.unplanes(batch["numbers"][i].as_py(), np.int32)
             ids, sizes, s = [], [], 0
             for n in batch["counts"][i].as_py():
                 out, size = gather(flat, at, numbers[s : s + n])
@@ -263,8 +263,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(grps, pa.int64()), pa.array([batch["rng"][i].as_py()] * len(grps), pa.int64()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["grp", "rng", "sizes", "ids"])
 
 
-def _assemble(pattern: str, ranges: int):
-    """The ids of every text of a group from the answers to its pieces."""
+def joined(ids: bytes, token: dict[int, bytes]) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _assemble(pattern: str, ranges: int, ranks=None):
+    """The ids of every text of a group from the answers to its pieces; with ``ranks`` (shared), decoded again."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         import regex
@@ -284,13 +289,20 @@ def _assemble(pattern: str, ranges: int):
         end = (4 * np.cumsum(sizes)).tolist()
         ids_of = {p.decode(): flat[a:z] for p, a, z in zip(raw, [0, *end], end)}
         ids = [b"".join(map(ids_of.__getitem__, pieces)) for pieces in texts]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+        out = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+        if ranks is not None:
+            token = {rank: raw for raw, rank in ranks.value.items()}
+            out["decoded"] = pa.array([joined(x, token) for x in ids], pa.binary())
+        return pa.table(out)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Ranks, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text)."""
+def encode(docs: DataFrame, vocabulary: Ranks, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text).
+
+    With ``decoded``, also what ``decode`` gives for the ids, in the same pass.
+    """
     arrow_limits(docs.sparkSession)
     _, size = text_bytes(docs)
     groups, ranges = groups_for(size, GROUP_BYTES), groups_for(size, RANGE_BYTES)
@@ -299,8 +311,11 @@ def encode(docs: DataFrame, vocabulary: Ranks, pattern: str) -> DataFrame:
     sent = grouped.groupBy("grp").applyInArrow(_send(pattern, ranges), "grp long, rng long, sizes binary, raw binary")
     distinct = sent.groupBy("rng").applyInArrow(_distinct(vocabulary.byte_ids, vocabulary.unreached), "rng long, grps array<long>, counts array<long>, numbers binary, pieces array<array<long>>")
     coded = distinct.select("rng", "grps", "counts", "numbers", encode_pieces(F.col("pieces"), vocabulary).alias("coded"))
-    answers = coded.mapInArrow(_answer, "grp long, rng long, sizes binary, ids binary")
-    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_assemble(pattern, ranges), "doc_id long, n_tokens long, ids binary")
+    # an exchange, so that no task runs two Python workers at once
+    answers = coded.repartition("rng").mapInArrow(_answer, "grp long, rng long, sizes binary, ids binary")
+    ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks) if decoded else None
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_assemble(pattern, ranges, ranks), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Ranks) -> DataFrame:
@@ -310,7 +325,7 @@ def decode(encoded: DataFrame, vocabulary: Ranks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: raw for raw, rank in shared.value.items()}
         for batch in batches:
-            texts = [b"".join(map(token.__getitem__, np.frombuffer(x.as_buffer(), np.uint32).tolist())) for x in batch["ids"]]
+            texts = [joined(x.as_py(), token) for x in batch["ids"]]
             yield pa.record_batch([batch["doc_id"], batch["n_tokens"], batch["ids"], pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -23,7 +23,7 @@ def tokenizer(name: str) -> str:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Ranks(bpe.parse_ranks(tokenizer("byte_bpe_multi_50k.tiktoken")))
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN), vocabulary)
+    decoded = bpe.encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, decoded=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
