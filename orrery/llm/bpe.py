@@ -145,9 +145,17 @@ def encode_pieces(pieces: Column, vocabulary: Ranks) -> Column:
     return let(vocabulary.table, lambda table: F.transform(pieces, lambda p: encode_piece(p, table, vocabulary.size)))
 
 
+def squeeze(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a task by group, as compressed Arrow streams: less to shuffle, and to hold, than texts."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
     held: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
@@ -211,7 +219,7 @@ def _send(pattern: str, ranges: int):
         runs = [raw[a:z] for a, z in zip(cut, cut[1:])]
         return pa.table({
             "grp": pa.array([rows["grp"][0].as_py()] * len(runs), pa.int64()), "rng": pa.array(full, pa.int64()),
-            "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([b"".join(r) for r in runs], pa.binary()),
+            "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([squeeze(b"".join(r)) for r in runs], pa.binary()),
         })
 
     return run
@@ -225,6 +233,7 @@ def _distinct(byte_ids: np.ndarray, unreached: dict[str, int]):
         numbers, counts = [], []
         for sizes, raw in zip(rows["sizes"].to_pylist(), rows["raw"].to_pylist()):
             end = np.cumsum(pk.unplanes(sizes, np.uint32).astype(np.int64)).tolist()
+            raw = unsqueeze(raw, end[-1])
             numbers.append(np.fromiter((known.setdefault(raw[a:z], len(known)) for a, z in zip([0, *end], end)), np.int32, len(end)))
             counts.append(len(end))
         parts = [np.array([unreached[k]], np.int64) if (k := p.decode("latin-1")) in unreached else byte_ids[np.frombuffer(p, np.uint8)].astype(np.int64) for p in known]
@@ -256,7 +265,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, sizes, s = [], [], 0
             for n in batch["counts"][i].as_py():
                 out, size = gather(flat, at, numbers[s : s + n])
-                ids.append(pk.planes(out))
+                ids.append(squeeze(pk.planes(out)))
                 sizes.append(pk.planes(size.astype(np.uint32)))
                 s += n
             grps = batch["grps"][i].as_py()
@@ -285,7 +294,8 @@ def _assemble(pattern: str, ranges: int, ranks=None):
         sizes = np.concatenate([np.zeros(0, np.int64), *(pk.unplanes(x, np.uint32).astype(np.int64) for _, x, _ in found)])
         if len(sizes) != len(raw):
             raise ValueError(f"{len(sizes)} answers to {len(raw)} pieces")
-        flat = b"".join(pk.unplanes(x, np.uint32).tobytes() for _, _, x in found)
+        totals = [int(pk.unplanes(x, np.uint32).sum()) for _, x, _ in found]
+        flat = b"".join(pk.unplanes(unsqueeze(x, 4 * n), np.uint32).tobytes() for n, (_, _, x) in zip(totals, found))
         end = (4 * np.cumsum(sizes)).tolist()
         ids_of = {p.decode(): flat[a:z] for p, a, z in zip(raw, [0, *end], end)}
         ids = [b"".join(map(ids_of.__getitem__, pieces)) for pieces in texts]
