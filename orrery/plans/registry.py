@@ -7,12 +7,13 @@ rotation is the Hadamard matrix, codewords are the sub-vectors of vectors 0 to 1
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
-from orrery.operators import collector, evaluate, ivf, knn, pq, rerank, signcode, training
+from orrery.operators import arrays, collector, evaluate, ivf, knn, pq, rerank, signcode, training
 from orrery.plans.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -120,9 +121,10 @@ def popcount_codes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def binary_inner_product(spark: SparkSession, d: str) -> DataFrame:
-    q = F.broadcast(asked(spark, d).select("qid", V.sign_words(F.col("q")).alias("a")))
     codes = base(spark, d).select("vec_id", V.sign_words(V.double(F.col("embedding"))).alias("b"))
-    return codes.join(q, F.col("vec_id") >= 0).select("qid", "vec_id", V.binary_dot(F.col("a"), F.col("b")).alias("ip"))
+    parts = [F.broadcast(q.select("qid", V.sign_words(F.col("q")).alias("a"))) for q in arrays.query_parts(asked(spark, d))]
+    pairs = reduce(DataFrame.unionByName, [codes.crossJoin(q) for q in parts])
+    return pairs.select("qid", "vec_id", V.binary_dot(F.col("a"), F.col("b")).alias("ip"))
 
 
 @query

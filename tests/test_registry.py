@@ -38,6 +38,18 @@ def test_queries_without_sql_run(spark):
         assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_inner_products_of_all_rows_in_parts(spark, tmp_path, monkeypatch):
+    from orrery.operators import arrays
+    from orrery.plans import registry
+
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(64)]) for i in (-50, -1, 0, 1, 50, 100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    parts = arrays.query_parts
+    monkeypatch.setattr(arrays, "query_parts", lambda queries: parts(queries, each=512))
+    found = registry.binary_inner_product(spark, str(tmp_path)).collect()
+    assert sorted((r.qid, r.vec_id) for r in found) == sorted((q, v) for q in (-50, 0, 50, 100) for v, _ in rows)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
