@@ -224,5 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component: its smallest doc_id, one row of it; null ids stay."""
     found = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    row = F.struct(*docs.columns)  # of the rows of a doc_id the one with the smallest hash; tasks send one row of each
+    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
+    kept = one.join(found, "doc_id", "left_semi").select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -76,6 +76,13 @@ def test_pages(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_one_row_of_each_kept_doc_id(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, text)] * 3 + [(2, "quite another text with no near copy of any other row in this table")] + [(None, text)] * 2 + [(3, text)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 0, 1, 2]
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]),
