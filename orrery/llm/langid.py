@@ -178,7 +178,12 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPL
 
 
 def filter_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` in a recognised language: neither ``und`` nor spread over all languages."""
+    """The rows of ``docs`` in a recognised language: neither ``und`` nor spread over all languages.
+
+    Without any labelled row there is nothing to recognise: then only null texts and texts without a letter go.
+    """
     model = fit(docs)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found, rows = predict(docs, model)
     return rows.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least)).select(*docs.columns)

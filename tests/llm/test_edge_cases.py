@@ -83,6 +83,12 @@ def test_one_row_of_each_kept_doc_id(spark):
     assert sorted((r.doc_id or 0 for r in kept.collect())) == [0, 0, 1, 2]
 
 
+def test_language_filter_without_any_label(spark):
+    rows = [(1, "a clean text", None), (2, None, None), (3, "", None), (4, "12 + 3", None), (5, "żółw", None)]
+    kept = langid.filter_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]),
