@@ -37,7 +37,7 @@ STOP_WORDS = frozenset(
     al ante con como cuando del desde donde el ella ellos entre era es esta este la las lo los más muy no nos o para pero por que se
     sin sobre son su sus también un una y ya""".split()
 )
-_BAD_TAGS = frozenset("nav header footer aside form button select dialog menu figcaption".split())
+_BAD_TAGS = frozenset("nav header footer aside form button select dialog menu".split())
 _SKIP_TAGS = "script|style|noscript|template|title|textarea|iframe|svg|object|math|canvas|audio|video"
 _BAD_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsbygoogle alert banner breadcrumb breadcrumbs comment comments commentlist
@@ -45,6 +45,7 @@ _BAD_NAMES = frozenset(
     pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skyscraper
     social sponsor sponsored subscribe subscription toolbar widget widgets complementary""".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _BLOCK_TAGS = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
@@ -62,13 +63,18 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _is_bad(tag: str, attributes: str) -> bool:
+def _is_bad(tag: str, attributes: str, main: int) -> bool:
+    """Whether a part never is main text; inside an article only whole names count, and headings' ids (anchors) do not."""
     if tag in _BAD_TAGS:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
+    if main:
+        anchor = tag in _HEADINGS
+        values = [m[1].strip("\"'") for m in _NAMED.finditer(attributes) if not (anchor and m[0][:2].lower() == "id")]
+        return any(p.lower() in _BAD_NAMES for x in values for p in x.split())
     return any(p.lower() in _BAD_NAMES for m in _NAMED.finditer(attributes) for p in _NAME_PART.findall(m[1]))
 
 
@@ -119,14 +125,14 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
                     _, bad, main = stack[i]
                     del stack[i:]
                     break
-        elif tag in _BLOCK_TAGS or _is_bad(tag, m[4]):
-            if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and not _is_bad(tag, m[4]):
+        elif tag in _BLOCK_TAGS or _is_bad(tag, m[4], main):
+            if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and not _is_bad(tag, m[4], main):
                 continue  # often left open; they hold no part of the page
             if tag in _MAIN_TAGS:  # a menu or header left open does not reach into the article
                 while stack and stack[-1][0] in ("nav", "header", "footer", "ul", "ol"):
                     _, bad, main = stack.pop()
             stack.append((tag, bad, main))
-            bad = bad or _is_bad(tag, m[4])
+            bad = bad or _is_bad(tag, m[4], main)
             if tag in _MAIN_TAGS and not main:
                 mains += 1
                 main = mains

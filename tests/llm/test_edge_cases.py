@@ -89,6 +89,12 @@ def test_language_filter_without_any_label(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 5]
 
 
+def test_article_keeps_captions_and_anchored_headings():
+    page = """<article><h2 id="market-share">Market share</h2><h2 id='search'>Search</h2><section id="related-work"><p>Earlier work.</p></section>
+    <figure><img src="x"><figcaption>A caption.</figcaption></figure><div class="share buttons">Share this</div></article>"""
+    assert htmltext.main_text(page).split("\n") == ["Market share", "Search", "Earlier work.", "A caption."]
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]),
