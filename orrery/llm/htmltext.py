@@ -5,7 +5,8 @@ characters, the share of its words that are stop words, the share of its charact
 whether it stands in a part that never is main text (menus, headers, footers, sidebars, notices, adverts,
 forms, comments).  Short blocks, and blocks of an article with few stop words, stay ambiguous.  The second
 pass gives each of those the label of the nearest decided block of the same part of the page; an article's
-ambiguous blocks with no decided neighbour are main text, as is a page's only text.
+ambiguous blocks with no decided neighbour are main text, as is a page's only text.  On a page where no long block has
+the stop words of a known language, long blocks with few links are ambiguous too.
 
 Defined results: null or empty html gives an empty text; markup left open at the end closes there; html of
 any length is read whole; repeated rows are extracted one by one; an empty table gives an empty result;
@@ -141,17 +142,26 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def first_pass(text: str, linked: int, bad: bool, main: int) -> bool | None:
-    """True for main text, False for the rest, None where ambiguous."""
-    if bad or linked > MOST_LINKS * len(text):
-        return False
-    if len(text) < SHORT:
-        return None
+def stop_share(text: str) -> float:
     found = _WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
-    if stops >= MANY_STOPS:
-        return True
-    return None if main or stops >= FEW_STOPS else False
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def rejected(text: str, linked: int, bad: bool, main: int) -> bool:
+    return bad or linked > MOST_LINKS * len(text)
+
+
+def first_pass(found: list[tuple[str, int, bool, int]]) -> list[bool | None]:
+    """For each block of a page True for main text, False for the rest, None where ambiguous."""
+    stops = [None if rejected(*b) or len(b[0]) < SHORT else stop_share(b[0]) for b in found]
+    known = any(s is not None and s >= FEW_STOPS for s in stops)  # else stop words tell nothing of the page's language
+    labels: list[bool | None] = []
+    for b, s in zip(found, stops):
+        if s is None:
+            labels.append(False if rejected(*b) else None)
+        else:
+            labels.append(True if s >= MANY_STOPS else None if b[3] or s >= FEW_STOPS or not known else False)
+    return labels
 
 
 def second_pass(labels: list[bool | None], parts: list[int]) -> list[bool]:
@@ -179,7 +189,7 @@ def second_pass(labels: list[bool | None], parts: list[int]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    kept = second_pass([first_pass(*b) for b in found], [b[3] for b in found])
+    kept = second_pass(first_pass(found), [b[3] for b in found])
     return "\n".join(b[0] for b, keep in zip(found, kept) if keep)
 
 

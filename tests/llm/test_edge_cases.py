@@ -95,6 +95,14 @@ def test_article_keeps_captions_and_anchored_headings():
     assert htmltext.main_text(page).split("\n") == ["Market share", "Search", "Earlier work.", "A caption."]
 
 
+def test_page_without_article_in_a_further_language():
+    long = ["Wczoraj rano mieszkańcy starego miasta zobaczyli, jak rzeka zalewa drogę prowadzącą do portu.", "Рано утром жители старого города увидели, что река вышла из берегов и залила дорогу к порту."]
+    for text in long:
+        assert htmltext.main_text(f"<p>{text}</p>") == text
+        page = f"<nav><a href='/'>Start</a></nav><div><p>{text}</p><p>{text}</p></div><footer>{text}</footer>"
+        assert htmltext.main_text(page) == f"{text}\n{text}"
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]),
