@@ -188,6 +188,24 @@ def test_distributed_tree_equals_local(spark, docs, texts):
     assert (tree.keys == local.keys).all() and np.allclose(tree.one, local.one) and np.allclose(tree.own, local.own, atol=1e-6)
 
 
+def test_scores_of_a_larger_corpus_keep_all_contexts(spark, monkeypatch):
+    """Past 512 KB too every context seen twice is kept; scores from ranges equal those of the whole tree."""
+    rng = random.Random(3)
+    filler = ["".join(rng.choice("abcdefghij ") for _ in range(2000)) for _ in range(500)]
+    rare = "Zyx qwv ÿ kjh vut!"
+    rows = [*enumerate([*filler, rare, rare, rare, rare, "", None, "never seen: 0123"]), (None, rare)]
+    monkeypatch.setattr(lm, "RANGE_BYTES", 1 << 16)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 1 << 17)
+    monkeypatch.setattr(lm, "PIECE", 1 << 10, raising=False)
+    found = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    learned = pa.array([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
+    assert len(found) == len(rows) and sum(len(t or "") for t in learned.to_pylist()) > 2 << 18
+    tree, texts = reference_tree(learned, 2), dict(rows)
+    for r in found:
+        strings = lm.byte_strings(pa.array([texts[r.doc_id]], pa.string()))[0]
+        assert r.score == pytest.approx(tree.log10(strings).sum(), rel=1e-5)
+
+
 def test_context_tree_weights_by_recursion():
     """Root weight and prediction of a depth-bounded tree, recomputed by the definition for one bit position."""
     texts = pa.array(["abababab", "abba"])
