@@ -194,7 +194,7 @@ def ordered(pieces: set[str], ranges: int) -> tuple[list[bytes], np.ndarray]:
     end = np.cumsum(np.array([len(x) for x in raw], np.int64))
     start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(raw) else end
     joined = np.frombuffer(b"".join(raw), np.uint8)
-    h = tb.spans(tb.prefix(tb._BYTE[joined], tb._BASE), start, end, tb._BASE) if len(raw) else np.zeros(0, np.uint64)
+    h = tb.spans(joined, start, end)
     part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     return [raw[i] for i in by.tolist()], part[by]

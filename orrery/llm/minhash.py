@@ -41,21 +41,31 @@ _MUL = _R.integers(0, 2**63 - 1, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) +
 _BAND = _R.integers(0, 2**63 - 1, (BANDS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct shingles of every text, sorted."""
-    b = tb.words(texts, lower=True)
-    at = b.window_at(SHINGLE)
-    doc, h = b.doc[at], tb.windows(b.h, SHINGLE)[at]
+def shingles(b: tb.Block, h: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of every text, from those of its words: all windows, then the short texts' sequences."""
     n = np.diff(b.first)
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
-    if len(short):
-        sums = tb.prefix(b.h, tb._WINDOW_BASE)
-        doc = np.concatenate([doc, short])
-        h = np.concatenate([h, tb.spans(sums, b.first[short], b.first[short + 1], tb._WINDOW_BASE)])
+    whole = np.zeros(len(short), np.uint64)
+    for j in range(SHINGLE - 1):
+        more = n[short] > j
+        whole[more] = tb.join(whole[more], h[b.first[short[more]] + j], j)
+    return np.concatenate([tb.windows(h, SHINGLE)[b.window_at(SHINGLE)], tb.mix(whole)])
+
+
+def shingle_sets(texts: pa.Array, checks: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, hash) of the distinct shingles of every text, sorted; with ``checks`` their second hash too."""
+    b = tb.words(texts, lower=True)
+    n = np.diff(b.first)
+    doc = np.concatenate([b.doc[b.window_at(SHINGLE)], np.flatnonzero((n > 0) & (n < SHINGLE))])
+    h = shingles(b, b.h)
     order = np.lexsort((h, doc))
+    other = shingles(b, b.check)[order] if checks else None
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    if other is not None:
+        new[1:] |= other[1:] != other[:-1]
+        return doc[new], h[new], other[new]
     return doc[new], h[new]
 
 
@@ -77,11 +87,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (x for whole in batches for x in tb.blocks(whole)):
-        doc, h = shingle_sets(batch["text"])
-        have, signature = min_max(doc, h)
+        doc, *hashes = shingle_sets(batch["text"], checks=True)
+        have, signature = min_max(doc, hashes[0])
         first = np.searchsorted(doc, have)
         digest = [np.zeros(batch.num_rows, np.uint64) for _ in range(2)]
-        for d, salt in zip(digest, (0x51ED270B, 0xB5297A4D)):
+        for d, h, salt in zip(digest, hashes, (0x51ED270B, 0xB5297A4D)):
             if len(have):
                 d[have] = np.add.reduceat(tb.mix(h ^ np.uint64(salt)), first)
         n = np.bincount(doc, minlength=batch.num_rows).astype(np.int64)

@@ -118,10 +118,10 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = [x.ids for x in found]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -131,26 +131,36 @@ class WordIds:
         self.pool[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(n) - n
         self.used += len(flat)
-        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n = keys[order], at[order], n[order]
+        held = [np.concatenate(x) for x in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.n, n))]
+        order = np.lexsort((held[1], held[0]))
+        self.keys, self.checks, self.at, self.n = (x[order] for x in held)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Places of pairs of hashes, -1 where not learned."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at, last = np.searchsorted(self.keys, keys), len(self.keys) - 1
+        same = lambda i: (self.keys[np.minimum(i, last)] == keys) & (i <= last)
+        found = same(at) & (self.checks[np.minimum(at, last)] == checks)
+        while (more := ~found & same(at + 1)).any():  # words that share a 64-bit hash lie side by side
+            at = at + more
+            found |= same(at) & (self.checks[np.minimum(at, last)] == checks)
+        return np.where(found, at, -1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID after each text, offsets of texts)."""
         b = tb.words(texts)
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        unique, first, inverse = np.unique(b.h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, unique)
-        new = np.ones(len(unique), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(at, len(self.keys) - 1)] != unique
+        first, inverse, _ = tb.distinct(b.h, b.check)
+        at = self.find(b.h[first], b.check[first])
+        new = at < 0
         if new.any():
             raw = b.data.tobytes()
             w = first[new]
-            self.learn(unique[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(b.start[w].tolist(), b.end[w].tolist())])
-            at = np.searchsorted(self.keys, unique)
-        begin, n = (self.at[at][inverse], self.n[at][inverse]) if len(unique) else (np.zeros(0, np.int64),) * 2
+            self.learn(b.h[w], b.check[w], [raw[s:e].decode("utf-8", "replace") for s, e in zip(b.start[w].tolist(), b.end[w].tolist())])
+            at = self.find(b.h[first], b.check[first])
+        begin, n = (self.at[at][inverse], self.n[at][inverse]) if len(first) else (np.zeros(0, np.int64),) * 2
         total = np.cumsum(n)
         size = tb.per_text(b, n) + 1
         off = np.concatenate([[0], np.cumsum(size)])

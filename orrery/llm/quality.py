@@ -58,15 +58,16 @@ def _measure(texts: pa.Array) -> list[np.ndarray]:
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[b.off])
     lead = (b.data & 0xC0) != 0x80
     solid = ~tb.SPACES[b.data]
-    doc, line, has = tb.line_hashes(b)
-    doc, line = doc[has], line[has]
-    _, first = np.unique(tb.mix(line ^ tb.mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
+    own = tb.mix(np.arange(1, b.n + 1, dtype=np.uint64))  # lines and windows are compared within their text
+    doc, line, check, has = tb.line_hashes(b)
+    doc = doc[has]
+    first, _, _ = tb.distinct(line[has] ^ own[doc], check[has] + own[doc])
     n_lines = np.bincount(doc, minlength=b.n)
     dup_lines = n_lines - np.bincount(doc[first], minlength=b.n)
 
     at = b.window_at(REPEAT)
-    grams = tb.windows(b.h, REPEAT)[at]
-    _, inverse, counts = np.unique(tb.mix(grams ^ tb.mix(b.doc[at].astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+    owner = own[b.doc[at]]
+    _, inverse, counts = tb.distinct(tb.windows(b.h, REPEAT)[at] ^ owner, tb.windows(b.check, REPEAT)[at] + owner)
     twice = at[counts[inverse] > 1]
     cover = np.zeros(len(b.h) + 1, np.int64)
     np.add.at(cover, twice, 1)
@@ -76,7 +77,7 @@ def _measure(texts: pa.Array) -> list[np.ndarray]:
     bang = b.data == ord("!")
     shouts = (b.end - b.start > 1) & bang[b.end - 1] & bang[np.maximum(b.end - 2, 0)] if len(b.h) else np.zeros(0, bool)
     stutters = np.zeros(len(b.h), bool)
-    stutters[1:] = (b.h[1:] == b.h[:-1]) & (b.doc[1:] == b.doc[:-1])
+    stutters[1:] = (b.h[1:] == b.h[:-1]) & (b.check[1:] == b.check[:-1]) & (b.doc[1:] == b.doc[:-1])
     return [
         n_words, sums(lead & solid), sums(SYMBOLS[b.data]), dup_lines, tb.per_text(b, covered), n_lines,
         sums((b.data >= 65) & (b.data <= 90)), sums((b.data >= 97) & (b.data <= 122)), tb.per_text(b, shouts), tb.per_text(b, stutters),

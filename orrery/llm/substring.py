@@ -102,10 +102,8 @@ class Group:
         shared = (self.shared_here() | shared_elsewhere)[self.at_name]
         at = self.b.window_at(WINDOW)
         self.at = at[hidden_middles(self.start, self.past, shared, at)]
-        sums = tb.prefix(self.b.h, tb._WINDOW_BASE)
-        other = tb.prefix(tb.mix(self.b.h ^ _U(0x589965CC75374CC3)), tb._BASE)
-        key = tb.spans(sums, self.at, self.at + WINDOW, tb._WINDOW_BASE)
-        check = (tb.spans(other, self.at, self.at + WINDOW, tb._BASE) >> _U(32)).astype(np.uint32)
+        key = tb.windows(self.b.h, WINDOW)[self.at]
+        check = (tb.windows(self.b.check, WINDOW)[self.at] >> _U(32)).astype(np.uint32)
         # one key for both: equal 64 bits with unequal checks would otherwise look like one window
         order = np.lexsort((check, key))
         k, c = key[order], check[order]

@@ -1,13 +1,16 @@
 """Numpy kernels over blocks of texts: words, lines and their 64-bit hashes, with no per-word Python.
 
-A block is an Arrow string column.  Its bytes are hashed once as a polynomial prefix sum modulo 2**64,
-from which the hash of any span (word, line, window) is one subtraction and one multiplication.
+A block is an Arrow string column.  A span of its bytes (word, line) is hashed by chunks of eight bytes: each
+chunk and its place go through a mixer, the results are summed and mixed again with the length, so no algebra
+of the text carries over into the hash.  Spans of at most eight bytes and equal length never collide.  Lanes
+are independent hashes of the same spans; results that rest on equality use two (128 bits), see ``distinct``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True)
-_BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Salts of the independent hashes.
+_LANES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0x51A2F9C36B8D07E5, 0x8F14E9B7D3A6C21D))
+_PLACE, _LENGTH = _U(0xA0761D6478BD642F), _U(0xD6E8FEB86659FD93)
+_JOIN, _FACTOR = 0xE7037ED1A0B428DB, _U(0x9FB21C651E98DF25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,35 +40,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base**i, base**-i) modulo 2**64 for i < n at least."""
-    held = _powers.get(base)
-    if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        held = _powers[base] = (np.cumprod(up, out=up), np.cumprod(down, out=down))
-    return held
-
-
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
-
-
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of [start, end) from prefix sums; the length is part of the hash."""
-    down = powers(base, len(sums))[1]
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of the bytes [start, end) of each span."""
+    salt, last = map(_U, _LANES[lane])
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    chunk_at = np.ndarray(len(data) + 1, "<u8", held, 0, (1,))  # the eight bytes from any place on
+    size = (end - start).astype(np.int64)
+    short = np.minimum(size, 8).astype(np.uint64)
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    total = mix((chunk_at[start] & masks[short]) ^ salt)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8  # chunks after the first
+        upto = np.cumsum(more)
+        nth = np.arange(upto[-1]) - np.repeat(upto - more, more) + 1
+        at = np.repeat(start[long], more) + 8 * nth
+        left = np.minimum(np.repeat(end[long], more) - at, 8)
+        each = mix((chunk_at[at] & masks[left]) ^ mix(nth.astype(np.uint64) * _PLACE + salt))
+        total[long] += np.add.reduceat(each, upto - more)
+    return mix(total + size.astype(np.uint64) * _LENGTH + last)
+
+
+def join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of pairs in order; for a given salt and one side fixed, distinct others give distinct results."""
+    return mix(mix(a + _U((salt + 1) * _JOIN & (2**64 - 1))) * _FACTOR + b)
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of n neighbours of h (across documents too: callers mask those)."""
+    """Hashes of all windows of n neighbours of h (across documents too: callers mask those), by doubling."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    at = np.arange(len(h) - n + 1)
-    return spans(prefix(h, _WINDOW_BASE), at, at + n, _WINDOW_BASE)
+    x, size = mix(h), 1
+    while size < n:  # two windows that overlap or touch make the next
+        step = min(size, n - size)
+        x = join(x[: len(x) - step], x[step:], size + step)
+        size += step
+    return x
+
+
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, number, count) of the distinct pairs of 64-bit hashes: ``np.unique`` of 128 bits."""
+    unique, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if (checks[first][inverse] == checks).all():
+        return first, inverse, counts
+    order = np.lexsort((checks, keys))  # two pairs share a key
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse, np.bincount(inverse)
 
 
 @dataclass
@@ -79,7 +102,11 @@ class Block:
     doc: np.ndarray
     h: np.ndarray
     first: np.ndarray
-    sums: np.ndarray
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        """A second, independent hash of each word."""
+        return spans(self.data, self.start, self.end, 1)
 
     @property
     def n(self) -> int:
@@ -118,15 +145,13 @@ def words(texts: pa.Array, lower: bool = False) -> Block:
     after[:-1] |= space[1:]
     solid = ~space
     start, end = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
-    sums = prefix(_BYTE[data], _BASE)
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return Block(data, off, start, end, doc, spans(sums, start, end, _BASE), first, sums)
+    return Block(data, off, start, end, doc, spans(data, start, end), first)
 
 
-def line_hashes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, has a word) of every \\n-split line."""
-    n = len(b.data)
+def line_hashes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, second hash, has a word) of every \\n-split line."""
     cut = np.flatnonzero(b.data == 10)
     start = np.concatenate([b.off[:-1], cut + 1])
     doc = np.concatenate([np.arange(b.n), np.searchsorted(b.off, cut, "right") - 1])
@@ -139,7 +164,7 @@ def line_hashes(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[:-1] = doc[1:] != doc[:-1]
     stop[last] = b.off[doc[last] + 1]
     has = np.searchsorted(b.start, stop) > np.searchsorted(b.start, start)
-    return doc, spans(b.sums, start, stop, _BASE) if n else np.zeros(len(start), np.uint64), has
+    return doc, spans(b.data, start, stop), spans(b.data, start, stop, 1), has
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

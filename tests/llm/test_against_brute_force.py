@@ -35,11 +35,49 @@ def test_words_and_lines():
     b = tb.words(pa.array(["a bb  ccc\n\na bb", None, "", " x ", "a bb\na bb", "é\x0bz"]))
     assert [bytes(b.data[s:e]).decode() for s, e in zip(b.start, b.end)] == ["a", "bb", "ccc", "a", "bb", "x", "a", "bb", "a", "bb", "é", "z"]
     assert b.h[0] == b.h[3] == b.h[6] and len(set(b.h.tolist())) == 6
-    doc, line, has = tb.line_hashes(b)
+    doc, line, _, has = tb.line_hashes(b)
     assert doc.tolist() == [0, 0, 0, 1, 2, 3, 4, 4, 5] and has.tolist() == [True, False, True, False, False, True, True, True, True]
     assert line[2] == line[6] == line[7]
 
 
+def thue_morse(n):
+    """Two words of 2**n letters, which every polynomial hash modulo a power of two confuses from n = 10 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    a, b = thue_morse(n)
+    rest = " ".join(f"w{i}" for i in range(60))
+    block = tb.words(pa.array([a, b]))
+    assert len(set(block.h.tolist())) == len(set(block.check.tolist())) == 2
+    ids = packing.WordIds(queries.tokenizer("word_bpe_49k.json"))
+    plain = [[*ids.tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in (a, b)]
+    found, off = ids.encode(pa.array([a, b]))
+    assert [found[s:e].tolist() for s, e in zip(off, off[1:])] == plain
+    assert set(minhash.shingle_sets(pa.array([a]))[1].tolist()) != set(minhash.shingle_sets(pa.array([b]))[1].tolist())
+    rows = pa.table({"text": [f"{a} {b}"]})
+    assert len(lm.tokens(rows)[1]) == 3
+    texts = {1: f"{a}\n{b}", 2: f"{a} {rest}", 3: f"{b} {rest}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_dup_lines for r in quality.ledger(df).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring.remove_repeats(df).collect()} == repeats(texts.items())
+    one = spark.createDataFrame([(1, f"{a} x y z u"), (2, f"{b} x y z u")], "doc_id long, text string")
+    assert all(r.kept for r in minhash.near_duplicates(one).collect())
+
+
+def test_pairs_of_hashes_that_share_one():
+    keys, checks = np.array([5, 5, 7, 5, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    first, number, counts = tb.distinct(keys, checks)
+    assert len(first) == 3 and sorted(counts.tolist()) == [1, 2, 2] and number[0] == number[3] != number[1] == number[4]
+    ids = packing.WordIds(queries.tokenizer("word_bpe_49k.json"))
+    ids.learn(keys[:3], checks[:3], ["one", "two", "three"])
+    assert len({int(x) for x in ids.find(keys, checks)}) == 3 and ids.find(np.array([5, 6], np.uint64), np.array([3, 1], np.uint64)).tolist() == [-1, -1]
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark):
     import public_tokenizers as P
     import tiktoken
