@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -47,22 +48,46 @@ def column_of(rows: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([unplanes(x, kind) for x in rows[name].to_pylist()]) if rows.num_rows else np.zeros(0, kind)
 
 
-def answer(rows: pa.Table, flags: np.ndarray, kind: int) -> pa.Table:
-    """One bit an entry, back to the groups that sent the rows."""
-    at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy())])
-    bits = [np.packbits(flags[s:e]).tobytes() for s, e in zip(at[:-1], at[1:])]
-    return pa.table({"grp": rows["grp"], "rng": rows["rng"], "n": rows["n"], "bits": pa.array(bits, pa.binary()), "kind": pa.array(np.full(len(bits), kind), pa.int32())})
+def pile(parts: list[bytes]) -> bytes:
+    """Byte strings as one, compressed."""
+    raw = b"".join(parts)
+    sizes = np.array([len(raw), *map(len, parts)], np.int64)
+    return bytes([len(parts)]) + sizes.tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
 
+def unpile(blob: bytes) -> list[bytes]:
+    n = blob[0]
+    total, *sizes = np.frombuffer(blob, np.int64, n + 1, 1).tolist()
+    raw = pa.decompress(blob[1 + 8 * (n + 1) :], decompressed_size=total, codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes).tolist()
+    return [raw[e - s : e] for s, e in zip(sizes, ends)]
 
-def flags_of(rows: pa.Table, kind: int, n: int) -> np.ndarray:
-    """The answers to a group's n sorted keys."""
-    mine = [(r["rng"], r["n"], r["bits"]) for r in rows.to_pylist() if r["kind"] == kind]
-    out = [np.unpackbits(np.frombuffer(bits, np.uint8), count=m) for _, m, bits in sorted(mine)]
-    found = np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
+
+def reply(rows: pa.Table, numbers: np.ndarray, kind: int) -> pa.Table:
+    """One number an entry, back to the groups that sent the rows; ``kind`` tells the replies of several passes apart."""
+    at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy())])
+    raw = []
+    for s, e in zip(at[:-1], at[1:]):
+        has = numbers[s:e] != 0
+        raw.append(pile([np.packbits(has).tobytes(), planes(numbers[s:e][has])]))
+    return pa.table({"grp": rows["grp"], "rng": rows["rng"], "n": rows["n"], "numbers": pa.array(raw, pa.binary()), "kind": pa.array(np.full(len(raw), kind), pa.int32())})
+
+
+def numbers_of(rows: pa.Table, kind: int, n: int) -> np.ndarray:
+    """The replies to a group's n sorted keys."""
+    mine = rows.filter(pa.compute.equal(rows["kind"], kind)).sort_by("rng")
+    out = [np.zeros(0, np.uint64)]
+    for m, raw in zip(mine["n"].to_pylist(), mine["numbers"].to_pylist()):
+        bits, held = unpile(raw)
+        has = np.unpackbits(np.frombuffer(bits, np.uint8), count=m).astype(bool)
+        part = np.zeros(m, np.uint64)
+        part[has] = unplanes(held, np.uint64)
+        out.append(part)
+    found = np.concatenate(out)
     if len(found) != n:
-        raise ValueError(f"{len(found)} answers to {n} keys")
+        raise ValueError(f"{len(found)} replies to {n} keys")
     return found
 
 
 SENT = "grp long, rng long, n long, keys binary"
-ANSWERED = "grp long, rng long, n long, bits binary, kind int"
+REPLIED = "grp long, rng long, n long, numbers binary, kind int"

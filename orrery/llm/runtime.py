@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 #: Text bytes that one numpy kernel call works on (a single longer text is worked on whole).
 BLOCK_BYTES = 4 << 20
+#: Hash ranges of an exchange at most; beyond it a range answers for more keys.
+MOST_RANGES = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +65,11 @@ def groups_for(n_bytes: int, each: int = 8 << 20) -> int:
     return max(1, -(-n_bytes // each))
 
 
+def ranges_for(n_bytes: int, each: int) -> int:
+    """Hash ranges that groups send keys to.  Bounded, so that rows of (group, range) grow as the input, not as its square."""
+    return min(MOST_RANGES, groups_for(n_bytes, each))
+
+
 def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The n rows (all, if fewer) with the smallest hashes of their keys, for fitting models of bounded size.
 

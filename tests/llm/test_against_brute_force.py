@@ -408,3 +408,38 @@ def test_pipeline_rows_against_stages_by_hand(spark, tmp_path):
             assert set(after) <= set(before) and all(after[i] == before[i] for i in after)
     digest = lambda df: hashlib.sha256(repr(sorted(map(tuple, df.select("doc_id", "piece", "length", "ids_crc32").collect()))).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, d)) == digest(step)
+
+
+def test_rounds_reveal_the_repeats(spark):
+    """Symbols grow from round to round, equal passages get equal ones, and without rounds nothing is found."""
+    r = random.Random(4)
+    passage = [f"p{r.randint(0, 400)}" for _ in range(200)]
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(i)] + passage)) for i in range(4)]
+    whole = {i: n for i, (_, n, _) in repeats(rows).items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in substring.remove_repeats(df).collect()} == whole and whole[3] == 200
+    words, _ = substring.Words.of(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    g, spans = substring.Recompression(words), []
+    for n in substring.STEPS:
+        g.steps(n)
+        here = g.here()
+        g.name(np.where(here, np.arange(1, len(here) + 1), 0).astype(np.uint64))
+        live = g.symbols.p != 0
+        spans.append((g.symbols.past - g.symbols.start)[live].mean())
+    assert spans[0] > 1.5 and all(b > 1.15 * a for a, b in zip(spans, spans[1:])) and (g.symbols.past - g.symbols.start)[live].max() >= 8
+    at = {int(p): k for k, p in enumerate(g.symbols.p) if p}
+    assert len(at) < live.sum() / 3  # the four copies share their symbols
+    assert {x.n_removed for x in substring.remove_repeats(df, steps=()).collect()} == {0}
+    assert {x.doc_id: x.n_removed for x in substring.remove_repeats(df, steps=(1, 1)).collect()} == whole
+
+
+def test_groups_pack_every_row_once(spark):
+    from orrery.llm import groups
+
+    rows = [(i, "x" * (i % 50)) for i in range(400)] + [(7, "y" * 5000)] * 3 + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = groups.packed(df, 1000).collect()
+    assert len({g.grp for g in found}) == len(found)
+    parts = [groups.from_blob(g.rows).to_pylist() for g in found]
+    assert sorted(((r["doc_id"] or -1, r["text"] or "") for p in parts for r in p)) == sorted((i or -1, t or "") for i, t in rows)
+    assert all(sum(len(r["text"] or "") for r in p) <= 1000 or len(p) == 1 for p in parts)
