@@ -103,6 +103,36 @@ def test_page_without_article_in_a_further_language():
         assert htmltext.main_text(page) == f"{text}\n{text}"
 
 
+PROSE = {
+    "en": "The house of the man was by the sea, and it was not far from the town that he had left in the winter of that year.",
+    "pl": "Wczoraj rano mieszkańcy starego miasta zobaczyli, jak rzeka zalewa drogę prowadzącą do portu, a potem cały rynek.",
+    "zh": "昨天早上，老城的居民看到河水淹没了通往港口的道路，随后整个市场都被水淹没，人们只好离开家园。",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+@pytest.mark.parametrize("wrap", [
+    '<div class="content share-enabled"><article>{}</article></div>', '<div class="has-sidebar"><main>{}</main></div>', '<div class="layout-sidebar-wrapper"><article>{}</article></div>',
+    "<div id='post'>{}</div>", "<div class='sidebar-right-layout'>{}</div>", "{}",
+])
+def test_wrappers_and_pages_without_articles(lang, wrap):
+    text = PROSE[lang]
+    body = f"<header><h1>{text[:9]}</h1></header><p>{text}</p><p>{text}</p>" if "<article>" in wrap else f"<p>{text}</p><p>{text}</p>"
+    page = f"<body><nav><ul><li><a href=/>Start</a></li></ul></nav><div class=ad>{text}</div>{wrap.format(body)}<div class='comments'><p>{text}</p><p>{text}</p><p>{text}</p></div><footer>{text}</footer></body>"
+    want = ([text[:9]] if "<header>" in body else []) + [text, text]
+    assert htmltext.main_text(page).split("\n") == want
+
+
+def test_both_passes_change_results():
+    long, few = PROSE["en"], "Price list: oak 12, pine 9, beech 14, larch 11, spruce 8, maple 21, cherry 30, walnut 44, elm 17, ash 16."
+    page = f"<div><h2>Title</h2><p>{long}</p><p>Short line.</p><p>{long}</p></div><div><p>{few}</p><p>Buy now</p><p>{few}</p></div><div><a href=/x>{long}</a></div>"
+    found, strength = htmltext.blocks(page)
+    first = htmltext.first_pass(found)
+    assert first == [None, True, None, True, False, None, False, False]
+    assert htmltext.second_pass(found, htmltext.bar_parts(found, strength, first)) == [True, True, True, True, False, False, False, False]
+    assert htmltext.main_text(page).split("\n") == ["Title", long, "Short line.", long]
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]),
