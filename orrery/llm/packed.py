@@ -13,6 +13,9 @@ import pyarrow as pa
 import pyarrow.compute
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
 def planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
 
@@ -52,7 +55,7 @@ def pile(parts: list[bytes]) -> bytes:
     """Byte strings as one, compressed."""
     raw = b"".join(parts)
     sizes = np.array([len(raw), *map(len, parts)], np.int64)
-    return bytes([len(parts)]) + sizes.tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return bytes([len(parts)]) + sizes.tobytes() + _CODEC.compress(raw, asbytes=True)
 
 
 def unpile(blob: bytes) -> list[bytes]:
@@ -64,29 +67,32 @@ def unpile(blob: bytes) -> list[bytes]:
 
 
 def reply(rows: pa.Table, numbers: np.ndarray, kind: int) -> pa.Table:
-    """One number an entry, back to the groups that sent the rows; ``kind`` tells the replies of several passes apart."""
+    """One number an entry, back to the groups that sent the rows; ``kind`` tells the replies of several passes apart.
+
+    Numbers other than 0 must not fall as keys grow: they are sent as differences.
+    """
     at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy())])
     raw = []
     for s, e in zip(at[:-1], at[1:]):
         has = numbers[s:e] != 0
-        raw.append(pile([np.packbits(has).tobytes(), planes(numbers[s:e][has])]))
+        raw.append(pile([np.packbits(has).tobytes(), planes(np.diff(numbers[s:e][has], prepend=np.uint64(0)))]))
     return pa.table({"grp": rows["grp"], "rng": rows["rng"], "n": rows["n"], "numbers": pa.array(raw, pa.binary()), "kind": pa.array(np.full(len(raw), kind), pa.int32())})
 
 
-def numbers_of(rows: pa.Table, kind: int, n: int) -> np.ndarray:
-    """The replies to a group's n sorted keys."""
+def numbers_of(rows: pa.Table, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The replies to a group's n sorted keys, and the ranges that gave them."""
     mine = rows.filter(pa.compute.equal(rows["kind"], kind)).sort_by("rng")
     out = [np.zeros(0, np.uint64)]
     for m, raw in zip(mine["n"].to_pylist(), mine["numbers"].to_pylist()):
         bits, held = unpile(raw)
         has = np.unpackbits(np.frombuffer(bits, np.uint8), count=m).astype(bool)
         part = np.zeros(m, np.uint64)
-        part[has] = unplanes(held, np.uint64)
+        part[has] = np.cumsum(unplanes(held, np.uint64))
         out.append(part)
     found = np.concatenate(out)
     if len(found) != n:
         raise ValueError(f"{len(found)} replies to {n} keys")
-    return found
+    return found, np.repeat(mine["rng"].to_numpy().astype(np.uint64), mine["n"].to_numpy())
 
 
 SENT = "grp long, rng long, n long, keys binary"

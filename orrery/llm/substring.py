@@ -4,7 +4,7 @@ Words are symbols.  A step names maximal runs of a symbol, then pairs of a left
 a bit of a symbol's identity.  What a step does to a symbol depends on it and its neighbours alone, so equal
 word sequences get equal symbols but for the outermost ones at their ends.  A round takes some steps in every
 group of documents, then names globally: groups send the distinct symbols they made to hash ranges; a symbol
-that occurs in two documents gets a name, a number that no other has, and one that does not is dead: no repeat
+that occurs in two documents gets a name, a number that no other has (its range, round and place there), and one that does not is dead: no repeat
 runs over it, it takes part in no further symbol, and dead neighbours shrink to one.  So what is left to name
 is soon the shared text alone, and its symbols grow (``STEPS``: 3 + 2 + 1 steps, six words on average, 50 at most).
 
@@ -43,7 +43,7 @@ from orrery.llm.runtime import ranges_for, table, text_bytes
 WINDOW = 50
 #: Steps of each round; a round ends with the global naming of what its steps made.
 STEPS = (3, 2, 1)
-GROUP_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+GROUP_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 _RUN, _PAIR, _EDGE = 1 << 20, 2 << 20, 3 << 20
@@ -64,20 +64,27 @@ class Words:
         ids = rows["doc_id"].combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
         return cls(b.h, b.check, b.doc, ids), b
 
-    def to_bytes(self) -> bytes:
-        """Distinct words, most frequent first, and for every word which it is."""
+    def to_bytes(self, b: tb.Block) -> bytes:
+        """The distinct words, most frequent first, and for every word which it is."""
         first, number, counts = tb.distinct(self.h, self.check)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         n = np.bincount(self.doc, minlength=len(self.ids))
-        parts = (self.ids, n.astype(np.int64), self.h[first][order], self.check[first][order], rank[number])
-        return pk.pile([pk.planes(x) for x in parts])
+        start = b.start[first][order]
+        size = (b.end - b.start)[first][order]
+        before = np.cumsum(size) - size
+        raw = b.data[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+        parts = (self.ids, n.astype(np.int64), size.astype(np.uint32), rank[number])
+        return pk.pile([*map(pk.planes, parts), raw.tobytes()])
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Words:
-        raw = pk.unpile(blob)
-        ids, n, h, check, at = (pk.unplanes(x, k) for x, k in zip(raw, (np.int64, np.int64, np.uint64, np.uint64, np.uint32)))
+        *parts, raw = pk.unpile(blob)
+        ids, n, size, at = (pk.unplanes(x, k) for x, k in zip(parts, (np.int64, np.int64, np.uint32, np.uint32)))
+        end = np.cumsum(size, dtype=np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        h, check = (tb.spans(data, end - size, end, lane) for lane in (0, 1))
         return cls(h[at], check[at], np.repeat(np.arange(len(ids)), n), ids)
 
 
@@ -272,7 +279,8 @@ def replay(words: Words, answers: pa.Table | None, steps: tuple[int, ...], round
     for i, n in enumerate(steps[: rounds + 1]):
         found.steps(n)
         if i < rounds:
-            found.name(pk.numbers_of(answers, i, len(found.keys)))
+            number, rng = pk.numbers_of(answers, i, len(found.keys))
+            found.name(np.where(number != 0, (number << _U(24) | rng) * _U(len(steps)) + _U(i + 1), 0))
     return found
 
 
@@ -291,6 +299,11 @@ def joined(b: tb.Block, keep: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(b.n, pa.py_buffer(off.tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string())
 
 
+def _words_blob(rows: pa.Table) -> bytes:
+    words, b = Words.of(rows)
+    return words.to_bytes(b)
+
+
 def _no_symbols(ranges: int) -> pa.Table:
     none = np.zeros(0, np.uint64)
     return pk.send(0, none, ranges, checks=none.astype(np.uint32), here=none.astype(bool))
@@ -328,7 +341,7 @@ def _by_key(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return order, new, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _name(ranges: int, rounds: int, number: int):
+def _name(number: int):
     """Names of the symbols that two groups, or two documents of one, have; 0 for the others."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -337,10 +350,8 @@ def _name(ranges: int, rounds: int, number: int):
             return pk.reply(rows, np.zeros(0, np.uint64), number)
         here = pk.column_of(rows, "here", bool)[order]
         live = (np.diff(np.append(first, len(order))) > 1) | np.logical_or.reduceat(here, first)
-        nth = (np.cumsum(live) - 1) * ranges + rows["rng"][0].as_py()
-        names = np.where(live, nth * rounds + number + 1, 0).astype(np.uint64)
         out = np.empty(len(order), np.uint64)
-        out[order] = names[which]
+        out[order] = np.where(live, np.cumsum(live), 0).astype(np.uint64)[which]  # the name within the range and round
         return pk.reply(rows, out, number)
 
     return run
@@ -378,7 +389,7 @@ def _remove(names: list[str], steps: tuple[int, ...]):
         words, b = Words.of(rows)
         g = replay(words, answers, steps, len(steps), True)
         g.close()
-        out = g.removed(pk.numbers_of(answers, len(steps), len(g.keys)) != 0)
+        out = g.removed(pk.numbers_of(answers, len(steps), len(g.keys))[0] != 0)
         found = rows.select(names)
         for name, column in (("n_words", pa.array(np.diff(b.first), pa.int64())), ("n_removed", pa.array(tb.per_text(b, out), pa.int64())), ("kept_text", joined(b, ~out))):
             found = found.append_column(name, column)
@@ -392,7 +403,7 @@ def remove_repeats(docs: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame
     _, size = text_bytes(docs)
     ranges = ranges_for(size, RANGE_BYTES)
     names = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text"}]
-    groups = packed(docs.select(*names), GROUP_BYTES, lambda rows: Words.of(rows)[0].to_bytes())
+    groups = packed(docs.select(*names), GROUP_BYTES, _words_blob)
     words, by_group = groups.select("grp", "more"), "grp"
     sent_as, answers = pk.SENT + ", checks binary, here binary", None
     for i in range(len(steps)):
@@ -400,7 +411,7 @@ def remove_repeats(docs: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame
             sent = words.mapInArrow(_symbols(ranges, steps), sent_as)
         else:
             sent = words.groupBy(by_group).cogroup(answers.groupBy(by_group)).applyInArrow(_more_symbols(ranges, steps, i), sent_as)
-        named = table(sent.groupBy("rng").applyInArrow(_name(ranges, len(steps), i), pk.REPLIED), "names")
+        named = table(sent.groupBy("rng").applyInArrow(_name(i), pk.REPLIED), "names")
         answers = named if answers is None else answers.unionByName(named)
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_text", T.StringType())])
     if answers is None:
