@@ -22,7 +22,7 @@ def codebook(scored: DataFrame, k: int, logical: int = 256, sample_share: float
     """
     if sample_share is not None:
         lists = scored.groupBy("qid").agg(F.max("rank").alias("lists"))
-        scored = scored.join(F.broadcast(lists), "qid").where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(sample_share) * F.col("lists"))))
+        scored = scored.join(lists, "qid").where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.lit(sample_share) * F.col("lists"))))
     nth = Window.partitionBy("qid").orderBy(dist, "vec_id")
     first = scored.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k)
     ends = first.groupBy("qid").agg(F.min(dist).alias("low"), F.max(dist).alias("high"))
@@ -31,7 +31,7 @@ def codebook(scored: DataFrame, k: int, logical: int = 256, sample_share: float
 
 def with_buckets(scored: DataFrame, book: DataFrame, logical: int = 256, **columns: str) -> DataFrame:
     """``scored`` with a bucket column for each name=distance pair."""
-    out = scored.join(F.broadcast(book), "qid")
+    out = scored.join(book, "qid")
     for name, dist in columns.items():
         out = out.withColumn(name, V.bucket_code(F.col(dist), F.col("low"), F.col("delta"), logical))
     return out.drop("low", "delta")
@@ -73,7 +73,7 @@ def bucket_top_k(scored: DataFrame, k: int, logical: int = 256, dist: str = "dis
     ends = scored.groupBy("qid").agg(F.min(dist).alias("low"), F.max(dist).alias("hi")).select("qid", "low", ((F.col("hi") - F.col("low")) / logical).alias("delta"))
     bucketed = with_buckets(scored, ends, logical, bucket=dist)
     th = threshold(histogram(bucketed), k, logical)
-    left = bucketed.join(F.broadcast(th), "qid").where(F.col("bucket") < F.col("th")).drop("bucket", "th")
+    left = bucketed.join(th, "qid").where(F.col("bucket") < F.col("th")).drop("bucket", "th")
     from orrery.operators.knn import top_k
 
     return top_k(left, k, dist=dist)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import resource
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.knn import exact_knn_join
@@ -38,25 +39,43 @@ def distance_ratio(found: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.where(F.col("g") > 1e-5).groupBy("qid").agg(F.avg(F.sqrt(F.col("d") / F.col("g"))).alias("ratio"))
 
 
-def timed(name: str, run: Callable[[], DataFrame], truth: DataFrame, n_queries: int, **parameters: int) -> DataFrame:
-    """One metrics row of a search: parameters, recall, microseconds a query, queries a second."""
-    began = time.perf_counter()
+def usage(spark: SparkSession) -> dict[str, float]:
+    """Seconds that tasks ran so far on all executors, user CPU of the driver's Python, and its and the driver JVM's memory in MB."""
+    executors = spark._jsc.sc().statusStore().executorList(False)
+    own, vm = resource.getrusage(resource.RUSAGE_SELF), spark._jvm.java.lang.Runtime.getRuntime()
+    return {
+        "task_s": sum(executors.apply(i).totalDuration() for i in range(executors.size())) / 1000.0, "driver_cpu_s": own.ru_utime,
+        "driver_peak_mb": own.ru_maxrss / 1024.0, "driver_jvm_mb": (vm.totalMemory() - vm.freeMemory()) / 2.0**20,
+    }
+
+
+def timed(name: str, run: Callable[[], DataFrame], truth: DataFrame, n_queries: int, counts: DataFrame | None = None, **parameters: int) -> DataFrame:
+    """One metrics row of a search: parameters, recall, microseconds a query, queries a second, CPU, memory and re-rank count.
+
+    ``counts`` (qid, class, n) tells what the search did with its rows; without it the re-rank count is null.
+    """
+    spark = truth.sparkSession
+    before, began = usage(spark), time.perf_counter()
     found = run().persist()
     found.count()
-    took = time.perf_counter() - began
+    took, after = time.perf_counter() - began, usage(spark)
+    spent = {c: after[c] - before[c] if c.endswith("_s") else after[c] for c in after}
+    verified = counts.where(F.col("class") == "verify").agg(F.sum("n")).first()[0] or 0 if counts is not None else None
     row = mean_recall(found, truth).select(
         F.lit(name).alias("method"), *[F.lit(v).alias(p) for p, v in parameters.items()], "recall",
         F.lit(took / max(1, n_queries) * 1e6).alias("us_per_query"), F.lit(n_queries / took).alias("qps"),
+        F.lit(None if verified is None else verified / max(1, n_queries)).cast("double").alias("avg_rerank"), *[F.lit(float(v)).alias(c) for c, v in spent.items()],
     )
-    out = found.sparkSession.createDataFrame(row.collect(), row.schema)
+    out = spark.createDataFrame(row.collect(), row.schema)
     found.unpersist()
     return out
 
 
-def sweep(searches: dict[int, DataFrame], truth: DataFrame) -> DataFrame:
-    """nprobe, recall for each of several results."""
-    rows = [mean_recall(found, truth).select(F.lit(n).alias("nprobe"), "recall") for n, found in sorted(searches.items())]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def sweep(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """nprobe, recall of a result that has the answers for several nprobe (as ``scan.flat_search`` gives)."""
+    want = truth.select("qid", "vec_id").distinct()
+    queries = want.select("qid").distinct().count()
+    sizes = want.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
+    hits = found.join(want, ["qid", "vec_id"], "left_semi").groupBy("nprobe", "qid").agg(F.countDistinct("vec_id").alias("hits"))
+    share = hits.join(sizes, "qid").groupBy("nprobe").agg((F.sum(F.col("hits") / F.col("total")) / max(1, queries)).alias("recall"))
+    return found.select("nprobe").distinct().join(share, "nprobe", "left").select("nprobe", F.coalesce("recall", F.lit(0.0)).alias("recall"))

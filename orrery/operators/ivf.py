@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.operators import arrays
-from orrery.operators.knn import FOUND, top_k
 
 
 def _with(schema: T.StructType, **more: T.DataType) -> T.StructType:
@@ -41,9 +39,14 @@ def assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
     return base.mapInArrow(nearest, schema)
 
 
+def by_list(rows: DataFrame) -> DataFrame:
+    """Rows dealt by list; Spark cuts a list that is too long for one task, and joins small ones."""
+    return rows.hint("rebalance", "cluster_id")
+
+
 def inverted_lists(assigned: DataFrame) -> DataFrame:
     """Rows clustered by list and sorted in it: the layout that is written, so that probes prune files."""
-    return assigned.repartition("cluster_id").sortWithinPartitions("cluster_id", "vec_id")
+    return by_list(assigned).sortWithinPartitions("cluster_id", "vec_id")
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
@@ -73,6 +76,8 @@ def size_histogram(assigned: DataFrame, bins: int = 10) -> DataFrame:
 def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int | None) -> DataFrame:
     """qid, rank, cluster_id, sqr_y: the nprobe nearest centroids of every query (all, if None), nearest first."""
     cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
+    if c.nbytes > arrays.BROADCAST_BYTES:
+        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
     shared = queries.sparkSession.sparkContext.broadcast((cids.astype(np.int32), c))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,53 +96,11 @@ def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int | None) -
     return queries.select("qid", "q").mapInArrow(probe, "qid long, rank int, cluster_id int, sqr_y double")
 
 
-class Probes:
-    """Queries grouped by the list they probe, small enough to broadcast."""
-
-    def __init__(self, qids: np.ndarray, q: np.ndarray, probe_qid: np.ndarray, probe_cluster: np.ndarray):
-        self.qids, self.q = qids, q
-        row = np.searchsorted(qids, probe_qid)
-        order = np.argsort(probe_cluster, kind="stable")
-        lists, first = np.unique(probe_cluster[order], return_index=True)
-        self.by_list = dict(zip(lists.tolist(), np.split(row[order], first[1:])))
-
-
-def probes_of(part: DataFrame, centroids: DataFrame, nprobe: int) -> Probes:
-    """A bounded part of the queries with its probes."""
-    found = coarse_probe(part, centroids, nprobe).select("qid", "cluster_id").toArrow()
-    return Probes(*arrays.collect_vectors(part, "qid", "q"), found["qid"].to_numpy(), found["cluster_id"].to_numpy())
-
-
 def ivf_flat_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
     """qid, rank, vec_id, dist: exact distances inside the probed lists; lists carry cluster_id."""
-    spark = lists.sparkSession
-
-    def scan(block: Probes) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = shared.value
-            for batch in batches:
-                cluster = batch["cluster_id"].to_numpy()
-                out: list[tuple[np.ndarray, ...]] = []
-                for c in np.unique(cluster).tolist():
-                    rows = p.by_list.get(c)
-                    if rows is None:
-                        continue
-                    part = batch.filter(pa.array(cluster == c))
-                    vec, d = part["vec_id"].to_numpy(), arrays.sqr_l2(p.q[rows], arrays.matrix(part["embedding"]))
-                    for r, row in zip(rows, d):
-                        at = arrays.smallest(row, vec, k)
-                        out.append((np.full(len(at), p.qids[r]), vec[at], row[at]))
-                if out:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["qid", "vec_id", "dist"])
-
-        wanted = F.col("cluster_id").isin([int(c) for c in block.by_list])
-        return lists.where(wanted).select("cluster_id", "vec_id", "embedding").mapInArrow(score, FOUND)
-
-    parts = [scan(probes_of(part, centroids, nprobe)) for part in arrays.query_parts(queries)]
-    found = reduce(DataFrame.unionByName, parts)
-    return top_k(found, k).select("qid", "rank", "vec_id", "dist")
+    from orrery.operators import scan
+
+    return scan.flat_search(lists, queries, centroids, [nprobe], k).drop("nprobe")
 
 
 def candidates(lists: DataFrame, probes: DataFrame, *columns: str) -> DataFrame:
@@ -146,8 +109,8 @@ def candidates(lists: DataFrame, probes: DataFrame, *columns: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "vec_id", seed: int = 123) -> DataFrame:
-    """n rows without replacement, the same ones each time: those with the smallest seeded hashes."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same ones each time: those whose seed and key have the smallest MD5."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def running_probe_share(probes: DataFrame) -> DataFrame:

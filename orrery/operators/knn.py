@@ -16,15 +16,16 @@ from orrery.operators import arrays
 FOUND = "qid long, vec_id long, dist double"
 
 
-def top_k(scored: DataFrame, k: int, dist: str = "dist", key: str = "qid", tie: str = "vec_id") -> DataFrame:
+def top_k(scored: DataFrame, k: int, dist: str | tuple[str, ...] = "dist", key: str | tuple[str, ...] = "qid", tie: str = "vec_id") -> DataFrame:
     """The k smallest of each key with their rank from 1; Spark limits each partition before the exchange."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(dist, tie))).where(F.col("rank") <= k)
+    names = lambda x: (x,) if isinstance(x, str) else x
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*names(key)).orderBy(*names(dist), tie))).where(F.col("rank") <= k)
 
 
 def exact_knn_join(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, rank, vec_id, dist: for every query (qid, q) its k nearest rows of base (vec_id, embedding).
 
-    Parts of the queries, of bounded size, are broadcast; every partition of base reports its own k best of each query.
+    Parts of the queries, of bounded size, are broadcast; every task keeps the k best of each over all its rows.
     """
     spark = base.sparkSession
 
@@ -33,20 +34,18 @@ def exact_knn_join(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, x = shared.value
+            best = arrays.Best(len(ids), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec, m = batch["vec_id"].to_numpy(), arrays.matrix(batch["embedding"])
-                d = arrays.sqr_l2(x, m)
-                at = [arrays.smallest(row, vec, k) for row in d]
-                n = [len(a) for a in at]
-                flat = np.concatenate(at) if at else np.zeros(0, int)
-                owner = np.repeat(np.arange(len(ids)), n)
-                yield pa.record_batch([pa.array(ids[owner]), pa.array(vec[flat]), pa.array(d[owner, flat])], ["qid", "vec_id", "dist"])
+                if batch.num_rows:
+                    vec = batch["vec_id"].to_numpy()
+                    for i, row in enumerate(arrays.sqr_l2(x, arrays.matrix(batch["embedding"]))):
+                        best.give(i, row, vec)
+            i, d, vec = best.rows()
+            yield pa.record_batch([pa.array(ids[i]), pa.array(vec), pa.array(d)], ["qid", "vec_id", "dist"])
 
         return base.select("vec_id", "embedding").mapInArrow(nearest, FOUND)
 
-    found = reduce(DataFrame.unionByName, [scan(part) for part in arrays.query_parts(queries)])
+    found = reduce(DataFrame.unionByName, [scan(part) for part in arrays.query_parts(queries, most=max(1, arrays.HELD // k))])
     return top_k(found, k).select("qid", "rank", "vec_id", "dist")
 
 
@@ -70,6 +69,6 @@ def radius_join(base: DataFrame, queries: DataFrame, centroids: DataFrame, limit
 
     lists = ivf.assign(base, centroids)
     reach = lists.groupBy("cluster_id").agg(F.max("dist_to_c").alias("radius"))
-    probes = ivf.coarse_probe(queries, centroids, None).join(F.broadcast(reach), "cluster_id").where(F.sqrt("sqr_y") - F.col("radius") <= limit**0.5 + 1e-9)
+    probes = ivf.coarse_probe(queries, centroids, None).join(reach, "cluster_id").where(F.sqrt("sqr_y") - F.col("radius") <= limit**0.5 + 1e-9)
     pairs = probes.join(queries, "qid").join(lists, "cluster_id")
     return pairs.select("qid", "vec_id", V.sqr_l2(F.col("q"), F.col("embedding")).alias("dist")).where(F.col("dist") <= limit)

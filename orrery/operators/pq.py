@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
-from orrery.operators.knn import top_k
+from orrery.operators import arrays
 
 
 def sub_vectors(v: Column, sub_dim: int = 4) -> Column:
@@ -47,7 +51,7 @@ def tables(queries: DataFrame, probes: DataFrame, centroids: DataFrame, codebook
     """probes with lut, the table of the (rotated) query residual of each probed list."""
     r = V.residual(F.col("q"), F.col("centroid"))
     r = V.rotate(r, columns) if columns is not None else r
-    both = probes.select("qid", "rank", "cluster_id").join(queries.select("qid", "q"), "qid").join(F.broadcast(centroids), "cluster_id")
+    both = probes.select("qid", "rank", "cluster_id").join(queries.select("qid", "q"), "qid").join(centroids, "cluster_id")
     return both.withColumn("t", r).select("qid", "rank", "cluster_id", table_of(F.col("t"), codebook, sub_dim).alias("lut"))
 
 
@@ -55,7 +59,7 @@ def code_lists(assigned: DataFrame, centroids: DataFrame, codebook: Column, colu
     """vec_id, cluster_id, pq of every row."""
     r = V.residual(F.col("embedding"), F.col("centroid"))
     r = V.rotate(r, columns) if columns is not None else r
-    both = assigned.select("vec_id", "embedding", "cluster_id").join(F.broadcast(centroids), "cluster_id").withColumn("r", r)
+    both = assigned.select("vec_id", "embedding", "cluster_id").join(centroids, "cluster_id").withColumn("r", r)
     return encode(both, "r", codebook, sub_dim).select("vec_id", "cluster_id", "pq")
 
 
@@ -67,9 +71,25 @@ def estimates(codes: DataFrame, luts: DataFrame, quantized: bool = False) -> Dat
     return luts.join(codes, "cluster_id").select("qid", "rank", "cluster_id", "vec_id", d.alias("est"))
 
 
-def search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, num_cand: int, k: int) -> DataFrame:
-    """qid, rank, vec_id, dist: the num_cand best estimates of a query are measured exactly, the k best are kept."""
-    from orrery.operators.rerank import exact_distances
-
-    best = top_k(scored.select("qid", "vec_id", "est"), num_cand, dist="est").select("qid", "vec_id")
-    return top_k(exact_distances(best, vectors, queries), k).select("qid", "rank", "vec_id", "dist")
+def index(assigned: DataFrame, centroids: DataFrame, book: np.ndarray, rotation: np.ndarray | None = None) -> DataFrame:
+    """What ``code_lists`` gives, with the vectors, from one pass in numpy: the rows that searches scan."""
+    cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
+    if c.nbytes > arrays.BROADCAST_BYTES:
+        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    shared = assigned.sparkSession.sparkContext.broadcast((cids, c, np.asarray(book, float), rotation))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, centres, words, turn = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = arrays.matrix(batch["embedding"]) - centres[np.searchsorted(ids, batch["cluster_id"].to_numpy())]
+            r = r if turn is None else r @ turn
+            pieces, _, size = words.shape
+            code = np.empty((len(r), pieces), np.int32)
+            for m in range(pieces):
+                code[:, m] = arrays.sqr_l2(r[:, m * size : (m + 1) * size], words[m]).argmin(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * pieces), pa.array(code.reshape(-1)))
+            yield pa.record_batch([batch["cluster_id"], batch["vec_id"], batch["embedding"].cast(pa.list_(pa.float32())), lists], ["cluster_id", "vec_id", "embedding", "pq"])
+
+    return assigned.select("cluster_id", "vec_id", "embedding").mapInArrow(run, "cluster_id int, vec_id long, embedding array<float>, pq array<int>")

@@ -8,12 +8,15 @@ query's quantised residual; the error bound scales with sqrt(1/x0**2 - 1).  Boun
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.config import SearchParams
 from orrery.functions import vector as V
+from orrery.operators import arrays
 
 #: Alignment of a row on its centroid, where the quotient has no value.
 DEGENERATE_X0 = 0.8
@@ -25,6 +28,11 @@ def random_rotation(dim: int, seed: int = 0) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def random_dither(dim: int, seed: int = 0) -> np.ndarray:
+    """A dither for each entry, uniform in [0, 1): quantisation without bias; the same one each time for a seed."""
+    return np.random.default_rng(seed).random(dim)
+
+
 def rotation_columns(matrix: np.ndarray) -> Column:
     """A rotation for right multiplication (v P) as a constant expression."""
     return V.matrix_literal(np.asarray(matrix).T)
@@ -41,7 +49,7 @@ def build(assigned: DataFrame, centroids: DataFrame, columns: Column, dim: int,
     """
     b = float(dim)
     r = (
-        assigned.select("vec_id", "embedding", "cluster_id").join(F.broadcast(centroids.select("cluster_id", "centroid")), "cluster_id")
+        assigned.select("vec_id", "embedding", "cluster_id").join(centroids.select("cluster_id", "centroid"), "cluster_id")
         .withColumn("r", V.rotate(V.pad(V.residual(F.col("embedding"), F.col("centroid")), dim), columns))
         .select("vec_id", "cluster_id", V.sign_words(F.col("r")).alias("code"), V.norm(F.col("r")).alias("d_c"), V.total(F.transform("r", F.abs)).alias("l1"))
     )
@@ -56,10 +64,43 @@ def build(assigned: DataFrame, centroids: DataFrame, columns: Column, dim: int,
     )
 
 
+INDEX = "cluster_id int, vec_id long, embedding array<float>, code array<long>, x0 double, d_c double, sqr_x double, error double, factor_ip double, factor_ppc double"
+
+
+def index(assigned: DataFrame, centroids: DataFrame, rotation: np.ndarray, epsilon: float = 1.9) -> DataFrame:
+    """What ``build`` gives, with the vectors, from one pass of matrix products: the rows that searches scan."""
+    cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
+    if c.nbytes > arrays.BROADCAST_BYTES:
+        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    shared = assigned.sparkSession.sparkContext.broadcast((cids, c, np.asarray(rotation, float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, centres, turn = shared.value
+        b = float(len(turn))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = arrays.matrix(batch["embedding"])
+            r = np.zeros((len(x), len(turn)))
+            r[:, : x.shape[1]] = x - centres[np.searchsorted(ids, batch["cluster_id"].to_numpy())]
+            r = r @ turn
+            bits = r > 0
+            words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+            d_c = np.sqrt((r * r).sum(1))
+            x0 = np.divide(np.abs(r).sum(1), b**0.5 * d_c, out=np.full(len(r), DEGENERATE_X0), where=d_c > 0)
+            xx0, sqr_x = d_c / x0, d_c * d_c
+            ip = -2 * xx0 / b**0.5
+            code = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.reshape(-1)))
+            columns = [code, *map(pa.array, (x0, d_c, sqr_x, 2 * epsilon / (b - 1) ** 0.5 * np.sqrt(np.maximum(xx0 * xx0 - sqr_x, 0)), ip, ip * (2 * bits.sum(1) - b)))]
+            yield pa.record_batch([batch["cluster_id"], batch["vec_id"], batch["embedding"].cast(pa.list_(pa.float32())), *columns], [f.split()[0] for f in INDEX.split(", ")])
+
+    return assigned.select("cluster_id", "vec_id", "embedding").mapInArrow(run, INDEX)
+
+
 def quantize_queries(queries: DataFrame, probes: DataFrame, centroids: DataFrame, columns: Column, dim: int, bits: int = 4, dither: float = 0.5) -> DataFrame:
     """probes with the prepared query of each list: sqr_y, low, width, qcode and sum_q."""
     t = (
-        probes.select("qid", "rank", "cluster_id").join(queries.select("qid", "q"), "qid").join(F.broadcast(centroids), "cluster_id")
+        probes.select("qid", "rank", "cluster_id").join(queries.select("qid", "q"), "qid").join(centroids, "cluster_id")
         .withColumn("t", V.rotate(V.pad(V.residual(F.col("q"), F.col("centroid")), dim), columns))
         .select("qid", "rank", "cluster_id", "t", V.sqr_norm(F.col("t")).alias("sqr_y"), F.array_min("t").alias("low"))
         .withColumn("width", (F.array_max("t") - F.col("low")) / (2**bits - 1))
@@ -84,22 +125,3 @@ def estimates(codes: DataFrame, prepared: DataFrame) -> DataFrame:
     return pairs.select("qid", "rank", "cluster_id", "vec_id", est.alias("est"), bound.alias("bound")).select(
         "qid", "rank", "cluster_id", "vec_id", "est", (F.col("est") - F.col("bound")).alias("lb"), (F.col("est") + F.col("bound")).alias("ub")
     )
-
-
-def bound_search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, rank, vec_id, dist, with exact distances only where the lower bound leaves a chance.
-
-    The threshold of a query is the k-th smallest upper bound over all its rows, which does not depend on the
-    order in which lists are read.
-    """
-    from orrery.operators.rerank import exact_distances, kth_smallest
-
-    limit = kth_smallest(scored, k, "ub", "limit")
-    left = scored.join(limit, "qid").where(F.col("limit").isNull() | (F.col("lb") <= F.col("limit"))).select("qid", "vec_id")
-    from orrery.operators.knn import top_k
-
-    return top_k(exact_distances(left, vectors, queries), k).select("qid", "rank", "vec_id", "dist")
-
-
-def default_columns(params: SearchParams, dim: int, seed: int = 0) -> Column:
-    return rotation_columns(random_rotation(V.code_dim(dim), seed))

@@ -34,7 +34,9 @@ def train_centroids(base: DataFrame, clusters: int, seed: int = 42, max_iter: in
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=clusters, seed=seed, maxIter=max_iter).fit(base.select(array_to_vector("embedding").alias("features")))
+    rows = base.select(array_to_vector("embedding").alias("features")).persist()  # read once, not in every round
+    model = KMeans(k=clusters, seed=seed, maxIter=max_iter).fit(rows)
+    rows.unpersist()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return base.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
 
@@ -97,4 +99,4 @@ def unit_check(matrix: np.ndarray) -> float:
 def residuals_of(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     from orrery.functions import vector as V
 
-    return assigned.join(F.broadcast(centroids), "cluster_id").select("vec_id", "cluster_id", V.residual(F.col("embedding"), F.col("centroid")).alias("r"))
+    return assigned.join(centroids, "cluster_id").select("vec_id", "cluster_id", V.residual(F.col("embedding"), F.col("centroid")).alias("r"))

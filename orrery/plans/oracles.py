@@ -81,16 +81,54 @@ cb AS (SELECT qid, min(est) AS low, (max(est) + 1e-5::DOUBLE - min(est)) / 256 A
 b AS (SELECT qid, vec_id, CAST(CASE WHEN delta > 0 THEN greatest(0, least(255, floor((est - low) / delta))) ELSE 0 END AS INT) AS bucket FROM e JOIN cb USING (qid)),
 h AS (SELECT qid, bucket, count(*) AS n FROM b GROUP BY 1, 2),
 hu AS (SELECT *, CAST(sum(n) OVER (PARTITION BY qid ORDER BY bucket) AS BIGINT) AS upto, sum(n) OVER (PARTITION BY qid) AS tot FROM h)"""
-_CLASSES = """ends AS (SELECT qid, min(lb) AS low, (max(ub) - min(lb)) / 256 AS delta FROM scored GROUP BY qid),
-bk AS (SELECT s.*, CAST(CASE WHEN delta > 0 THEN greatest(0, least(255, floor((lb - low) / delta))) ELSE 0 END AS INT) AS b_lb,
-  CAST(CASE WHEN delta > 0 THEN greatest(0, least(255, floor((ub - low) / delta))) ELSE 0 END AS INT) AS b_ub FROM scored s JOIN ends USING (qid)),
+
+
+def scored(nprobe: int) -> tuple[str, ...]:
+    return _LISTS, _PROBES.replace("rank <= 4", f"rank <= {nprobe}"), _HADAMARD, _CODES, _PREPARED, _SCORED
+
+
+def books(source: str, k: int) -> str:
+    """Ranges and physical buckets of each query from the k smallest estimates in its nearest list."""
+    return f"""sample AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, vec_id) AS nth FROM {source} WHERE rank <= 1) WHERE nth <= {k}),
+book_range AS (SELECT qid, min(est) AS low, (max(est) + 1e-5::DOUBLE - min(est)) / 256 AS delta, count(*) AS total FROM sample GROUP BY qid),
+depths AS (SELECT qid, greatest(0, least(255, floor((est - low) / delta)))::INT AS b, count(*) AS n FROM sample JOIN book_range USING (qid) GROUP BY 1, 2),
+lut AS (SELECT qid, b, least(31, ((upto - n) * 32) // total)::INT AS code FROM (
+  SELECT r.qid, l.b, coalesce(d.n, 0) AS n, r.total, sum(coalesce(d.n, 0)) OVER (PARTITION BY r.qid ORDER BY l.b) AS upto
+  FROM book_range r, (SELECT unnest(range(256)) AS b) l LEFT JOIN depths d ON d.qid = r.qid AND d.b = l.b))"""
+
+
+def classes(nprobe: int, k: int) -> tuple[str, ...]:
+    at = lambda x: f"CASE WHEN delta > 0 THEN greatest(0, least(255, floor(({x} - low) / delta)))::INT ELSE 0 END"
+    return *scored(nprobe), books("scored", k), f"""ends AS (SELECT s.*, coalesce({at("lb")}, 255) AS l_lb, coalesce({at("ub")}, 255) AS l_ub FROM scored s LEFT JOIN book_range USING (qid)),
+bk AS (SELECT e.qid, e.vec_id, e.lb, coalesce(x.code, 31) AS b_lb, coalesce(y.code, 31) AS b_ub FROM ends e LEFT JOIN lut x ON x.qid = e.qid AND x.b = e.l_lb LEFT JOIN lut y ON y.qid = e.qid AND y.b = e.l_ub),
 hist AS (SELECT qid, b_ub, sum(count(*)) OVER (PARTITION BY qid ORDER BY b_ub) AS upto FROM bk GROUP BY 1, 2),
-th AS (SELECT qid, coalesce(min(CASE WHEN upto >= 10 THEN b_ub END), 256) + 1 AS th FROM hist GROUP BY qid),
+th AS (SELECT qid, coalesce(min(CASE WHEN upto >= {k} THEN b_ub END), 31) + 1 AS th FROM hist GROUP BY qid),
 safe AS (SELECT qid, min(b_lb) AS safe FROM bk JOIN th USING (qid) WHERE b_ub >= th - 1 AND b_lb < th GROUP BY qid),
 cls AS (SELECT bk.*, CASE WHEN b_lb >= th THEN 'drop' WHEN b_ub < least(coalesce(safe, th - 1), th - 1) THEN 'accept' ELSE 'verify' END AS class
   FROM bk JOIN th USING (qid) LEFT JOIN safe USING (qid))"""
 
 
+def bound_search(nprobe: int, k: int) -> str:
+    return sql(f"""SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist FROM (SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM (
+      SELECT s.qid, s.vec_id, {l2('q.q', 'v.e')} AS dist FROM scored s LEFT JOIN lim USING (qid) JOIN q ON q.qid = s.qid JOIN v ON v.vec_id = s.vec_id WHERE lim.ub IS NULL OR s.lb <= lim.ub)) WHERE rank <= {k}""",
+      *scored(nprobe), f"lim AS (SELECT qid, ub FROM (SELECT qid, ub, row_number() OVER (PARTITION BY qid ORDER BY ub, vec_id) AS n FROM scored) WHERE n = {k})")
+
+
+def bucket_search(nprobe: int, k: int) -> str:
+    return sql(f"""SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist, exact FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact, dist, vec_id) AS rank FROM (
+      SELECT qid, vec_id, lb AS dist, false AS exact FROM cls WHERE class = 'accept' UNION ALL
+      SELECT cls.qid, cls.vec_id, {l2('q.q', 'v.e')}, true FROM cls JOIN q ON q.qid = cls.qid JOIN v ON v.vec_id = cls.vec_id WHERE class = 'verify')) WHERE rank <= {k}""",
+      *classes(nprobe, k))
+
+
+def pq_search(nprobe: int, num_cand: int, k: int) -> str:
+    best = f"""best AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, vec_id) AS n FROM pqe) WHERE n <= {num_cand}),
+exact AS (SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM (
+  SELECT b.qid, b.vec_id, {l2("q.q", "v.e")} AS dist FROM best b JOIN q ON q.qid = b.qid JOIN v ON v.vec_id = b.vec_id))"""
+    lists = _PROBES.replace("rank <= 4", f"rank <= {nprobe}")
+    return sql(f"SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist FROM exact WHERE rank <= {k}", _LISTS, lists, _BOOK, _PQ_CODES, _PQ_LUT, _PQ_EST, best)
+
+
 def sql(select: str, *ctes: str) -> str:
     return f"WITH {', '.join([_V, *ctes])} {select}"
 
@@ -112,7 +150,7 @@ ORACLES: dict[str, str] = {
     "residual_norms": sql("SELECT vec_id, cluster_id, round(d2, 5) AS sqr_norm FROM a", _LISTS),
     "sign_code_words": sql(f"SELECT vec_id, {word(minus('e', 'cen'))} AS word0 FROM a", _LISTS),
     "popcount_codes": sql(f"SELECT vec_id, CAST({bits(minus('e', 'cen'))} AS INT) AS bits FROM a", _LISTS),
-    "binary_inner_product": sql("SELECT qid, vec_id, CAST(list_sum(list_transform(list_zip(q, e), lambda p: (p[1] > 0 AND p[2] > 0)::INT)) AS INT) AS ip FROM q, v"),
+    "binary_inner_product": sql("SELECT qid, vec_id, CAST(list_sum(list_transform(list_zip(q, e), lambda p: (p[1] > 0 AND p[2] > 0)::INT)) AS INT) AS ip FROM p JOIN a USING (cluster_id)", _LISTS, _PROBES),
     "byte_binary_inner_product": sql("SELECT qid, vec_id, CAST(ip AS BIGINT) AS ip, CAST(ip AS BIGINT) AS ip_direct FROM ip", _LISTS, _PROBES, _HADAMARD, _CODES, _PREPARED, _SCORED),
     "vector_gather": sql("SELECT vec_id, round(list_sum(e), 5) AS total FROM v WHERE vec_id IN (SELECT vec_id FROM truth)", _TRUTH),
     "assign_nearest_centroid": sql("SELECT vec_id, cluster_id, round(sqrt(d2), 5) AS dist_to_c FROM a", _LISTS),
@@ -133,9 +171,8 @@ ORACLES: dict[str, str] = {
     "signcode_factors": sql(f"SELECT vec_id, cluster_id, {word('r')} AS word0, round(x0, 5) + 0.0::DOUBLE AS x0, round(d_c, 5) + 0.0::DOUBLE AS d_c, round(sqr_x, 5) + 0.0::DOUBLE AS sqr_x, round(error, 5) + 0.0::DOUBLE AS error, round(factor_ip, 5) + 0.0::DOUBLE AS factor_ip, round(factor_ppc, 5) + 0.0::DOUBLE AS factor_ppc FROM code", _LISTS, _HADAMARD, _CODES),
     "quantized_query": sql("SELECT qid, cluster_id, round(sy, 5) AS sqr_y, round(low, 5) AS low, round(width, 5) AS width, array_to_string(qcode, ',') AS qcode, CAST(sum_q AS INT) AS sum_q FROM prepared", _PROBES, _HADAMARD, _PREPARED),
     "signcode_estimate": sql("SELECT qid, vec_id, round(est, 5) AS est, round(lb, 5) AS lb, round(ub, 5) AS ub FROM scored", _LISTS, _PROBES, _HADAMARD, _CODES, _PREPARED, _SCORED),
-    "signcode_search": sql(f"""SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist FROM (SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM (
-      SELECT s.qid, s.vec_id, {l2('q.q', 'v.e')} AS dist FROM scored s LEFT JOIN lim USING (qid) JOIN q ON q.qid = s.qid JOIN v ON v.vec_id = s.vec_id WHERE lim.ub IS NULL OR s.lb <= lim.ub)) WHERE rank <= 10""",
-      _LISTS, _PROBES, _HADAMARD, _CODES, _PREPARED, _SCORED, "lim AS (SELECT qid, ub FROM (SELECT qid, ub, row_number() OVER (PARTITION BY qid ORDER BY ub, vec_id) AS n FROM scored) WHERE n = 10)"),
+    "signcode_search": bound_search(4, 10),
+    "signcode_search_k1000": bound_search(16, 1000),
     "pq_lut": sql("SELECT qid, cluster_id, CAST(m AS INT) AS m, CAST(j AS INT) AS j, round(x, 5) AS x FROM lut", _PROBES, _BOOK, _PQ_LUT),
     "pq_encode": sql("SELECT vec_id, cluster_id, array_to_string(list(j ORDER BY m), ',') AS pq FROM pqc GROUP BY vec_id, cluster_id", _LISTS, _BOOK, _PQ_CODES),
     "pq_adc_distance": sql("SELECT qid, vec_id, round(est, 5) AS est FROM pqe", _LISTS, _PROBES, _BOOK, _PQ_CODES, _PQ_LUT, _PQ_EST),
@@ -146,14 +183,13 @@ ORACLES: dict[str, str] = {
     "bucket_equal_depth": sql("SELECT qid, bucket, n, upto, CAST(least(31, floor((upto - n) / (tot / 32))) AS INT) AS code FROM hu", _LISTS, _PROBES, _IVF, _COLLECT),
     "bucket_threshold": sql("SELECT qid, CAST(coalesce(min(CASE WHEN upto >= 10 THEN bucket END), 256) + 1 AS INT) AS th, CAST(least(coalesce(min(CASE WHEN upto >= 5 THEN bucket END), 256) + 1, coalesce(min(CASE WHEN upto >= 10 THEN bucket END), 256) + 1) AS INT) AS pred FROM hu GROUP BY qid", _LISTS, _PROBES, _IVF, _COLLECT),
     "bucket_topk": sql("SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM hits WHERE list_rank <= 4) WHERE rank <= 100", _LISTS, _PROBES, _IVF),
-    "bound_classify": sql("SELECT qid, class, count(*) AS n FROM cls GROUP BY qid, class", _LISTS, _PROBES, _HADAMARD, _CODES, _PREPARED, _SCORED, _CLASSES),
-    "bucket_rerank": sql(f"""SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist, exact FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact, dist, vec_id) AS rank FROM (
-      SELECT qid, vec_id, lb AS dist, false AS exact FROM cls WHERE class = 'accept' UNION ALL
-      SELECT cls.qid, cls.vec_id, {l2('q.q', 'v.e')}, true FROM cls JOIN q ON q.qid = cls.qid JOIN v ON v.vec_id = cls.vec_id WHERE class = 'verify')) WHERE rank <= 10""",
-      _LISTS, _PROBES, _HADAMARD, _CODES, _PREPARED, _SCORED, _CLASSES),
+    "bound_classify": sql("SELECT qid, class, count(*) AS n FROM cls GROUP BY qid, class", *classes(4, 10)),
+    "bound_classify_k500": sql("SELECT qid, class, count(*) AS n FROM cls GROUP BY qid, class", *classes(16, 500)),
+    "bucket_rerank": bucket_search(4, 10),
+    "bucket_rerank_k500": bucket_search(16, 500),
+    "bucket_rerank_k1000": bucket_search(16, 1000),
+    "pq_search": pq_search(4, 100, 10),
+    "pq_bucket_search": pq_search(4, 100, 10),
+    "pq_bucket_search_k500": pq_search(16, 1000, 500),
+    "deterministic_sample": "SELECT vec_id FROM embeddings ORDER BY md5('123:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 200",
 }
-_BEST = f"""best AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY est, vec_id) AS n FROM pqe) WHERE n <= 100),
-exact AS (SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM (
-  SELECT b.qid, b.vec_id, {l2("q.q", "v.e")} AS dist FROM best b JOIN q ON q.qid = b.qid JOIN v ON v.vec_id = b.vec_id))"""
-for _name in ("pq_search", "pq_bucket_search"):
-    ORACLES[_name] = sql("SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 5) AS dist FROM exact WHERE rank <= 10", _LISTS, _PROBES, _BOOK, _PQ_CODES, _PQ_LUT, _PQ_EST, _BEST)

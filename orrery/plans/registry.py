@@ -7,18 +7,22 @@ rotation is the Hadamard matrix, codewords are the sub-vectors of vectors 0 to 1
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
-from orrery.operators import arrays, collector, evaluate, ivf, knn, pq, rerank, signcode, training
+from orrery.config import SearchParams
+from orrery.operators import arrays, collector, evaluate, ivf, knn, pq, scan, signcode, training
 from orrery.plans.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 CLUSTERS, NPROBE, K, NUM_CAND, DIM = 16, 4, 10, 100, 64
+PARAMS = SearchParams(clusters=CLUSTERS, nprobe=NPROBE, k=K, num_cand=NUM_CAND)
+HALF = SearchParams(clusters=CLUSTERS, nprobe=CLUSTERS, k=500, num_cand=1000)
+LARGE = SearchParams(clusters=CLUSTERS, nprobe=CLUSTERS, k=1000, num_cand=2000)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -121,10 +125,10 @@ def popcount_codes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def binary_inner_product(spark: SparkSession, d: str) -> DataFrame:
-    codes = base(spark, d).select("vec_id", V.sign_words(V.double(F.col("embedding"))).alias("b"))
-    parts = [F.broadcast(q.select("qid", V.sign_words(F.col("q")).alias("a"))) for q in arrays.query_parts(asked(spark, d))]
-    pairs = reduce(DataFrame.unionByName, [codes.crossJoin(q) for q in parts])
-    return pairs.select("qid", "vec_id", V.binary_dot(F.col("a"), F.col("b")).alias("ip"))
+    """Codes of the queries against the codes of the rows of the lists they probe."""
+    codes = lists(spark, d).select("cluster_id", "vec_id", V.sign_words(V.double(F.col("embedding"))).alias("b"))
+    probes = ivf.coarse_probe(asked(spark, d), centres(spark, d), NPROBE).join(asked(spark, d), "qid").select("qid", "cluster_id", V.sign_words(F.col("q")).alias("a"))
+    return probes.join(codes, "cluster_id").select("qid", "vec_id", V.binary_dot(F.col("a"), F.col("b")).alias("ip"))
 
 
 @query
@@ -224,7 +228,8 @@ def distance_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nprobe_sweep_recall(spark: SparkSession, d: str) -> DataFrame:
     truth = knn.exact_knn_join(base(spark, d), asked(spark, d), K)
-    return evaluate.sweep({n: _found(spark, d, n) for n in (1, 2, 4, 8, 16)}, truth).withColumn("recall", F.round("recall", 5))
+    found = scan.flat_search(lists(spark, d), asked(spark, d), centres(spark, d), [1, 2, 4, 8, 16], K)
+    return evaluate.sweep(found, truth).withColumn("recall", F.round("recall", 5))
 
 
 # --- sign codes ---------------------------------------------------------------------------------------------------
@@ -264,9 +269,28 @@ def signcode_estimate(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("qid", "vec_id", *[F.round(n, 5).alias(n) for n in ("est", "lb", "ub")])
 
 
+def hadamard() -> np.ndarray:
+    i = np.arange(DIM)
+    return np.where(np.bitwise_count(i[:, None] & i) % 2 == 0, 1.0, -1.0) / DIM**0.5
+
+
+def sign_index(spark: SparkSession, d: str) -> DataFrame:
+    return signcode.index(lists(spark, d), centres(spark, d), hadamard())
+
+
+def _bound_search(spark: SparkSession, d: str, p: SearchParams) -> DataFrame:
+    found = scan.bound_search(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), p)
+    return found.withColumn("dist", F.round("dist", 5))
+
+
 @query
 def signcode_search(spark: SparkSession, d: str) -> DataFrame:
-    return signcode.bound_search(scored(spark, d), base(spark, d), asked(spark, d), K).withColumn("dist", F.round("dist", 5))
+    return _bound_search(spark, d, PARAMS)
+
+
+@query
+def signcode_search_k1000(spark: SparkSession, d: str) -> DataFrame:
+    return _bound_search(spark, d, LARGE)
 
 
 # --- product codes ------------------------------------------------------------------------------------------------
@@ -306,9 +330,20 @@ def pq_quantized_distance(spark: SparkSession, d: str) -> DataFrame:
     return pq_scored(spark, d, quantized=True).select("qid", "vec_id", F.round("est", 5).alias("est"))
 
 
+def pq_index(spark: SparkSession, d: str) -> tuple[DataFrame, scan.PqEstimator]:
+    words = arrays.collect_vectors(centres(spark, d), "cluster_id", "centroid")[1]
+    book = words.reshape(len(words), DIM // 4, 4).transpose(1, 0, 2)
+    return pq.index(lists(spark, d), centres(spark, d), book), scan.PqEstimator(book)
+
+
+def _pq_search(spark: SparkSession, d: str, p: SearchParams, collector: bool) -> DataFrame:
+    index, estimator = pq_index(spark, d)
+    return scan.pq_search(index, asked(spark, d), centres(spark, d), estimator, p, collector).withColumn("dist", F.round("dist", 5))
+
+
 @query
 def pq_search(spark: SparkSession, d: str) -> DataFrame:
-    return pq.search(pq_scored(spark, d), base(spark, d), asked(spark, d), NUM_CAND, K).withColumn("dist", F.round("dist", 5))
+    return _pq_search(spark, d, PARAMS, False)
 
 
 # --- collector and re-ranking -------------------------------------------------------------------------------------
@@ -355,18 +390,43 @@ def bucket_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bound_classify(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.classify(scored(spark, d), K).groupBy("qid", "class").agg(F.count(F.lit(1)).alias("n"))
+    """What the collector drops, accepts and verifies of each query: the last is its re-rank count."""
+    return scan.collector_counts(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), PARAMS)
 
 
 @query
-def bucket_rerank(spark: SparkSession, d: str) -> DataFrame:
-    found = rerank.bucket_search(scored(spark, d), base(spark, d), asked(spark, d), K)
+def bound_classify_k500(spark: SparkSession, d: str) -> DataFrame:
+    return scan.collector_counts(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), HALF)
+
+
+def _bucket_rerank(spark: SparkSession, d: str, p: SearchParams) -> DataFrame:
+    found = scan.collector_search(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), p)
     return found.select("qid", "rank", "vec_id", F.round("dist", 5).alias("dist"), "exact")
 
 
+@query
+def bucket_rerank(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket_rerank(spark, d, PARAMS)
+
+
+@query
+def bucket_rerank_k500(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket_rerank(spark, d, HALF)
+
+
+@query
+def bucket_rerank_k1000(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket_rerank(spark, d, LARGE)
+
+
 @query
 def pq_bucket_search(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.pq_bucket_search(pq_scored(spark, d), base(spark, d), asked(spark, d), NUM_CAND, K).withColumn("dist", F.round("dist", 5))
+    return _pq_search(spark, d, PARAMS, True)
+
+
+@query
+def pq_bucket_search_k500(spark: SparkSession, d: str) -> DataFrame:
+    return _pq_search(spark, d, HALF, True)
 
 
 # --- training: no SQL, tested by what it must improve -----------------------------------------------------------------

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -24,6 +25,23 @@ EXTENSIONS = {".fvecs": "float32", ".ivecs": "int32", ".Ivecs": "uint64", ".bvec
 RUN_BYTES = 64 << 20
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3, ...), and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def entries(path: str) -> list[fs.FileInfo]:
+    """The files of a folder by name, or the file itself."""
+    system, inner = file_system(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return [info]
+    found = system.get_file_info(fs.FileSelector(inner))
+    return sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.base_name)
+
+
 def kind_of(path: str, given: str | None = None) -> str:
     kind = given or EXTENSIONS.get(os.path.splitext(path)[1])
     if kind not in KINDS:
@@ -41,21 +59,17 @@ class VecsReader(DataSourceReader):
         self.path, self.kind, self.ragged = path, kind, ragged
         self.item = np.dtype(KINDS[kind][0]).itemsize
 
-    def files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return [os.path.join(self.path, f) for f in sorted(os.listdir(self.path)) if not f.startswith(("_", "."))]
-        return [self.path]
-
     def partitions(self) -> list[Run]:
         runs, base = [], 0
-        for path in self.files():
-            size = os.path.getsize(path)
+        system, _ = file_system(self.path)
+        for info in entries(self.path):
+            path, size = info.path, info.size
             if not size:
                 continue
             if self.ragged:
                 runs.append(Run(path, 0, -1, base))
                 continue
-            with open(path, "rb") as f:
+            with system.open_input_file(path) as f:
                 dim = struct.unpack("<i", f.read(4))[0]
             record = 4 + dim * self.item
             if dim < 0 or size % record:
@@ -71,7 +85,7 @@ class VecsReader(DataSourceReader):
         if run.count < 0:
             yield from self._ragged(run, kind, signed)
             return
-        with open(run.path, "rb") as f:
+        with file_system(self.path)[0].open_input_file(run.path) as f:
             dim = struct.unpack("<i", f.read(4))[0]
             record = 4 + dim * kind.itemsize
             f.seek(run.first * record)
@@ -88,7 +102,7 @@ class VecsReader(DataSourceReader):
                 done += n
 
     def _ragged(self, run: Run, kind: np.dtype, signed: type) -> Iterator[pa.RecordBatch]:
-        with open(run.path, "rb") as f:
+        with file_system(self.path)[0].open_input_stream(run.path) as f:
             i = run.base
             while head := f.read(4):
                 dim = struct.unpack("<i", head)[0]
@@ -111,17 +125,19 @@ class VecsWriter(DataSourceWriter):
 
     def __init__(self, path: str, kind: str, overwrite: bool):
         self.path, self.kind, self.overwrite = path, kind, overwrite
-        if not overwrite and os.path.exists(path) and os.listdir(path):
+        system, inner = file_system(path)
+        if not overwrite and system.get_file_info(inner).type != fs.FileType.NotFound and entries(path):
             raise ValueError(f"{path} is not empty")
-        os.makedirs(path, exist_ok=True)
+        system.create_dir(inner, recursive=True)
 
     def write(self, rows) -> Part:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        path = os.path.join(self.path, f".part-{context.partitionId():05d}-{context.taskAttemptId()}")
+        system, inner = file_system(self.path)
+        path = f"{inner}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
         kind, n = KINDS[self.kind][0], 0
-        with open(path, "wb") as f:
+        with system.open_output_stream(path) as f:
             for row in rows:
                 v = np.asarray(row[-1])
                 v = v.astype(np.int64).view(np.uint64) if self.kind == "uint64" else v.astype(kind)
@@ -130,20 +146,22 @@ class VecsWriter(DataSourceWriter):
         return Part(path, n)
 
     def commit(self, messages: list[Part | None]) -> None:
+        system, inner = file_system(self.path)
         if self.overwrite:
-            for old in os.listdir(self.path):
-                if old.startswith("part-"):
-                    os.remove(os.path.join(self.path, old))
+            for old in entries(self.path):
+                if old.base_name.startswith("part-"):
+                    system.delete_file(old.path)
         extension = next(e for e, k in EXTENSIONS.items() if k == self.kind)
         for m in messages:
             if m is not None:
                 name = os.path.basename(m.path)[1:].rsplit("-", 1)[0]
-                os.replace(m.path, os.path.join(self.path, name + extension))
+                system.move(m.path, f"{inner}/{name}{extension}")
 
     def abort(self, messages: list[Part | None]) -> None:
+        system, _ = file_system(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 class VecsSource(DataSource):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
-from orrery.operators import arrays, collector, evaluate, ivf, knn, pq, rerank, signcode, training
+from orrery.config import SearchParams
+from orrery.operators import arrays, collector, evaluate, ivf, knn, pq, scan, signcode, training
 from orrery.sources import store, vecs
 from orrery.streaming import ingest
 
@@ -45,8 +46,8 @@ def test_exact_join(data):
 
 def test_query_parts_give_the_same_rows(data, monkeypatch):
     x, base, queries, centres = data
-    monkeypatch.setattr(arrays.query_parts, "__defaults__", ("q", 3 * 8 * D))
-    assert len(arrays.query_parts(queries)) == 4
+    monkeypatch.setattr(arrays.query_parts, "__defaults__", ("q", 3 * 8 * D, None))
+    assert len(arrays.query_parts(queries)) == 4 and len(arrays.query_parts(queries, each=1 << 20, most=4)) == 3
     assert as_lists(knn.exact_knn_join(base, queries, K)) == exact(x, K)
     assert as_lists(ivf.ivf_flat_search(ivf.assign(base, centres), queries, centres, C, K)) == exact(x, K)
     none = queries.limit(0)
@@ -57,7 +58,7 @@ def test_ivf_is_exact_over_all_lists_and_recall_grows(data):
     x, base, queries, centres = data
     lists, truth = ivf.assign(base, centres).cache(), knn.exact_knn_join(base, queries, K)
     assert as_lists(ivf.ivf_flat_search(lists, queries, centres, C, K)) == exact(x, K)
-    recalls = [r.recall for r in evaluate.sweep({n: ivf.ivf_flat_search(lists, queries, centres, n, K) for n in (1, 3, C)}, truth).orderBy("nprobe").collect()]
+    recalls = [r.recall for r in evaluate.sweep(scan.flat_search(lists, queries, centres, [1, 3, C], K), truth).orderBy("nprobe").collect()]
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
     ratio = evaluate.distance_ratio(ivf.ivf_flat_search(lists, queries, centres, 2, K), truth).collect()
     assert all(r.ratio >= 1 for r in ratio)
@@ -95,25 +96,73 @@ def test_bounds_cover_the_distance(data, scored):
     assert np.mean([r.lb - 1e-9 <= d[r.qid, r.vec_id] <= r.ub + 1e-9 for r in rows]) > 0.88
 
 
-def test_bound_and_bucket_search(data, scored):
+def sign_search(data, k, nprobe=C, dither=0.5, epsilon=1.9):
+    x, base, queries, centres = data
+    turn = signcode.random_rotation(D)
+    index = signcode.index(ivf.assign(base, centres), centres, turn, epsilon)
+    return index, queries, centres, scan.SignEstimator(turn, dither=dither), SearchParams(clusters=C, nprobe=nprobe, k=k)
+
+
+def test_index_equals_the_expressions(data):
+    x, base, queries, centres = data
+    index, *_ = sign_search(data, K)
+    codes = signcode.build(ivf.assign(base, centres), centres, signcode.rotation_columns(signcode.random_rotation(D)), D)
+    a, b = (sorted(df.collect(), key=lambda r: r.vec_id) for df in (index, codes))
+    for r, s in zip(a, b, strict=True):
+        assert (r.vec_id, r.cluster_id, r.code) == (s.vec_id, s.cluster_id, s.code)
+        assert [r[c] for c in ("x0", "d_c", "sqr_x", "error", "factor_ip", "factor_ppc")] == pytest.approx([s[c] for c in ("x0", "d_c", "sqr_x", "error", "factor_ip", "factor_ppc")], rel=1e-9, abs=1e-9)
+
+
+def test_bound_and_bucket_search(data):
     x, base, queries, _ = data
     truth = exact(x, K)
-    for found in (signcode.bound_search(scored, base, queries, K), rerank.bucket_search(scored, base, queries, K)):
-        got = as_lists(found)
-        assert all(len(v) == len(set(v)) == K for v in got.values())
-        assert np.mean([len(set(got[q]) & set(truth[q])) / K for q in truth]) > 0.9
-    classes = {r["class"] for r in rerank.classify(scored, K).select("class").distinct().collect()}
-    assert classes <= {"drop", "accept", "verify"}
-    few = as_lists(rerank.bucket_search(scored, base, queries, N * 2))
+    for run in (scan.bound_search, scan.collector_search):
+        for dither in (0.5, signcode.random_dither(D, 3)):
+            got = as_lists(run(*sign_search(data, K, dither=dither)))
+            assert all(len(v) == len(set(v)) == K for v in got.values())
+            assert np.mean([len(set(got[q]) & set(truth[q])) / K for q in truth]) > 0.9
+    few = as_lists(scan.collector_search(*sign_search(data, N * 2)))
     assert all(len(v) == N for v in few.values())
+    none = sign_search(data, K)
+    assert scan.collector_search(none[0], queries.limit(0), *none[2:]).count() == 0
 
 
-def test_accepted_rows_belong_to_the_answer(spark):
-    rows = [(0, 1, i, float(i), i - 0.2, i + 0.2) for i in range(40)]
-    s = spark.createDataFrame(rows, "qid long, rank int, vec_id long, est double, lb double, ub double")
-    marked = rerank.classify(s, 10, 64).collect()
-    assert {r.vec_id for r in marked if r["class"] == "accept"} <= set(range(10)) and len([r for r in marked if r["class"] == "accept"]) >= 7
-    assert {r.vec_id for r in marked if r["class"] == "drop"} >= set(range(13, 40))
+def test_collector_accepts_without_measuring_and_counts_what_it_measures(data, monkeypatch):
+    x, *_ = data
+    truth = {q: set(v) for q, v in exact(x, 100).items()}
+    args = sign_search(data, 100, epsilon=0.2)  # narrow bounds: these vectors have no structure
+    found = scan.collector_search(*args).collect()
+    accepted = {(r.qid, r.vec_id) for r in found if not r.exact}
+    assert len(accepted) > 5 * Q and np.mean([v in truth[q] for q, v in accepted]) > 0.6
+    counts = {(r.qid, r["class"]): r.n for r in scan.collector_counts(*args).collect()}
+    assert all(sum(counts.get((q, c), 0) for c in scan.CLASSES) == N for q in range(Q))
+    assert sum(n for (_, c), n in counts.items() if c == "accept") == len(accepted)
+    assert 0 < sum(n for (_, c), n in counts.items() if c == "verify") < 0.8 * N * Q
+    monkeypatch.setattr(arrays, "HELD", 300)  # three queries a block
+    again = scan.collector_search(*args).collect()
+    plain = lambda rows: sorted((r.qid, r["rank"], r.vec_id, round(r.dist, 6), r.exact) for r in rows)
+    assert plain(again) == plain(found)
+
+
+def test_books_and_thresholds():
+    books = scan.Books(np.array([0.0]), np.array([1.0]), np.array([[0, 0, 1, 1]]), 2)
+    assert books.code(np.array([0]), np.array([[0, 0.4, 1.9, 2.5, 3.9, 4.0, -1.0]])).tolist() == [[0, 0, 0, 1, 1, 1, 0]]
+    assert scan.threshold(np.array([[3, 2, 1, 2]]), 4).tolist() == [2] and scan.threshold(np.array([[3, 2, 1, 2]]), 99).tolist() == [4]
+    assert scan.sampled_lists(4) == 1 and scan.sampled_lists(350) == 3
+    lower, upper = np.array([[0, 0, 1, 2, 3]]), np.array([[0, 1, 2, 3, 4]])
+    assert scan.classes(lower, upper, np.array([3]), np.array([1])).tolist() == [[1, 2, 2, 2, 0]]
+
+
+def test_best_keeps_the_smallest_of_many():
+    r = np.random.default_rng(0)
+    best, seen = arrays.Best(2, 7, extra=1), [[], []]
+    for _ in range(300):
+        for i in (0, 1):
+            d, ids = r.integers(0, 50, 20).astype(float), r.integers(0, 10**6, 20)
+            best.give(i, d, ids, -d)
+            seen[i] += list(zip(d, ids))
+    i, d, ids, extra = best.rows()
+    assert [sorted(seen[q])[:7] for q in (0, 1)] == [list(zip(d[i == q], ids[i == q])) for q in (0, 1)] and (extra == -d).all()
 
 
 def test_bucket_micro_fixture(spark):
@@ -148,8 +197,11 @@ def test_product_codes(spark, data):
         assert row.pq == training.encode_rows(r[row.vec_id][None], book)[0].tolist()
     luts = pq.tables(queries, ivf.coarse_probe(queries, centres, C), centres, column)
     est = pq.estimates(codes, luts).cache()
-    assert as_lists(pq.search(est, base, queries, N, K)) == exact(x, K)
-    assert as_lists(rerank.pq_bucket_search(est, base, queries, 60, K)) == as_lists(pq.search(est, base, queries, 60, K))
+    index = pq.index(lists, centres, book)
+    assert {r.vec_id: r.pq for r in index.collect()} == {r.vec_id: r.pq for r in codes.collect()}
+    params = lambda n: SearchParams(clusters=C, nprobe=C, k=K, num_cand=n)
+    found = lambda n, collector: as_lists(scan.pq_search(index, queries, centres, scan.PqEstimator(book), params(n), collector))
+    assert found(N, False) == found(N, True) == exact(x, K) and found(60, True) == found(60, False)
     gap = est.join(pq.estimates(codes, luts, quantized=True).withColumnRenamed("est", "rough"), ["qid", "vec_id"]).agg(F.max(F.abs(F.col("est") - F.col("rough")))).first()[0]
     assert gap < 5.0
 
@@ -198,6 +250,26 @@ def test_bad_vector_files_are_rejected(spark, tmp_path):
     assert [r.embedding for r in vecs.read_vecs(spark, str(tmp_path / "lists.ivecs"), ragged=True).orderBy("vec_id").collect()] == [[5, 6], [], [9]]
 
 
+def test_command_line(spark, data, tmp_path, capsys):
+    from orrery import cli
+
+    x, base, queries, _ = data
+    d = str(tmp_path)
+    vecs.write_vecs(base, f"{d}/base", order="vec_id", single=True)
+    vecs.write_vecs(queries.select(F.col("qid").alias("vec_id"), F.col("q").alias("embedding")), f"{d}/query", order="vec_id", single=True)
+    truth = spark.createDataFrame([(q, v) for q, v in exact(x, K).items()], "vec_id long, embedding array<long>")
+    vecs.write_vecs(truth, f"{d}/truth", dtype="int32", order="vec_id", single=True)
+    file = lambda name: "file://" + str(next((tmp_path / name).glob("part-*")))
+    cli.main(["index", "--base", file("base"), "--index", f"{d}/index", "--clusters", str(C), "--seed", "1"], spark)
+    for method, extra in (("bucket", ["--dither-seed", "5"]), ("bound", []), ("flat", [])):
+        cli.main(["search", "--index", f"{d}/index", "--query", file("query"), "--truth", file("truth"), "--method", method, "--nprobe", str(C), "--k", str(K), "--log", f"{d}/log", *extra], spark)
+    rows = spark.read.parquet(f"{d}/log").collect()
+    assert {r.method for r in rows} == {"bucket", "bound", "flat"} and all(r.recall > 0.9 for r in rows) and all(r.k == K and r.nprobe == C for r in rows)
+    assert next(r for r in rows if r.method == "bucket").avg_rerank > 0
+    with pytest.raises(SystemExit):
+        cli.main(["search", "--index", f"{d}/index"], spark)
+
+
 def test_index_store_and_stream(spark, data, tmp_path):
     _, base, queries, centres = data
     lists = ivf.assign(base, centres)
@@ -206,7 +278,8 @@ def test_index_store_and_stream(spark, data, tmp_path):
     probes = ivf.coarse_probe(queries, index["centroids"], 2)
     a = as_lists(ivf.ivf_flat_search(store.probed(index["vectors"], probes), queries, index["centroids"], 2, K))
     assert a == as_lists(ivf.ivf_flat_search(lists, queries, centres, 2, K))
-    metrics = evaluate.timed("ivf", lambda: ivf.ivf_flat_search(lists, queries, centres, 2, K), knn.exact_knn_join(base, queries, K), Q, nprobe=2, k=K)
+    metrics = evaluate.timed("ivf", lambda: ivf.ivf_flat_search(lists, queries, centres, 2, K), knn.exact_knn_join(base, queries, K), Q, counts=None, nprobe=2, k=K)
+    assert metrics.first().recall > 0 and metrics.first().task_s > 0 and metrics.first().driver_peak_mb > 0
     store.append_metrics(str(tmp_path / "log"), metrics)
     store.append_metrics(str(tmp_path / "log"), metrics)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
