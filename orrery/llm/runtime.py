@@ -18,12 +18,14 @@ MOST_RANGES = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="orrery-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,14 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go when the driver's Python ends.
+    The files go when the driver's Python ends, or by ``release`` once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a ``table`` that no later step reads."""
+    _drop(df.sparkSession, df._shared_path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -70,13 +79,18 @@ def ranges_for(n_bytes: int, each: int) -> int:
     return min(MOST_RANGES, groups_for(n_bytes, each))
 
 
+def thinned(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """About n of ``total`` rows (all, if not more), by a hash of their keys and their place: equal rows fall one by one."""
+    if total <= n:
+        return df
+    h = F.xxhash64(*keys, F.monotonically_increasing_id())
+    return df.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * (n / total)))
+
+
 def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The n rows (all, if fewer) with the smallest hashes of their keys, for fitting models of bounded size.
 
-    Rows are first thinned by a bound on the hash to about twice as many, so that what tasks send to be
-    merged does not grow with their number.
+    Rows are first thinned to over twice as many, so that what tasks send to be merged does not grow with
+    their number.
     """
-    h, total = F.xxhash64(*keys), df.count()
-    if total > 2 * n:
-        df = df.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * (2 * n / total)))
-    return df.orderBy(h, *keys).limit(n)
+    return thinned(df, 2 * n + 64, df.count(), *keys).orderBy(F.xxhash64(*keys), *keys).limit(n)

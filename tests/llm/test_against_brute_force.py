@@ -222,7 +222,7 @@ def reference_tree(texts: pa.Array, least: int) -> lm.ContextTree:
 def test_distributed_tree_equals_local(spark, docs, texts):
     n_bytes = sum(len(t.encode()) + 1 for t in texts.values())
     tree = lm.fit(docs, n_bytes)
-    local = reference_tree(pa.array(list(texts.values())), max(2, -(-n_bytes // lm.KEPT_SHARE)))
+    local = reference_tree(pa.array(list(texts.values())), lm.LEAST)
     assert (tree.keys == local.keys).all() and np.allclose(tree.one, local.one) and np.allclose(tree.own, local.own, atol=1e-6)
 
 
@@ -307,6 +307,74 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.95
 
 
+def neighbours(rows, k=5):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        best = [j for j in np.lexsort((ids, -np.round(s, 12))) if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [(int(ids[j]), s[j]) for j in best]
+    return out
+
+
+def found_neighbours(df):
+    out = collections.defaultdict(list)
+    for r in sorted(ann.nearest(df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        out[r.query_id].append((r.vec_id, r.score))
+    return out
+
+
+def test_neighbours_of_an_isolated_pair_and_of_copies(spark):
+    pair = [(i, [-1.0, 0.0, 0.0]) for i in (0, 1)] + [(i, [1.0, 0.0, 0.0]) for i in range(2, 1000)]
+    found = found_neighbours(spark.createDataFrame(pair, "vec_id long, embedding array<double>").repartition(5))
+    assert [v for v, _ in found[0]] == [1, 2, 3, 4, 5] and [v for v, _ in found[50]] == [2, 3, 4, 5, 6]
+    assert all(len(v) == 5 for v in found.values()) and len(found) == 20
+    r = np.random.default_rng(2)
+    rows = [(i, (r.standard_normal(8) * 10.0 ** r.integers(-3, 3)).tolist()) for i in range(900)] + [(i, [3.0] * 8) for i in range(900, 1500)]
+    df = spark.createDataFrame(rows + rows[:100] + rows[-100:], "vec_id long, embedding array<double>").repartition(5)
+    found, true = found_neighbours(df), neighbours(rows)
+    assert set(found) == set(true) and all(len(found[q]) == 5 for q in true)
+    assert all([v for v, _ in found[q]] == [v for v, _ in true[q]] for q in true if q >= 900)
+    hits = sum(len({v for v, _ in found[q]} & {v for v, _ in true[q]}) for q in true)
+    assert hits / (5 * len(true)) >= 0.9
+
+
+def test_queries_whose_walk_ends_early_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 2)
+    monkeypatch.setattr(ann, "BEAM", 1)
+    monkeypatch.setattr(ann, "EXACT", 4)
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(6).tolist()) for i in range(600)]
+    found, true = found_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), neighbours(rows)
+    assert all(len(found[q]) == 5 for q in true)
+
+
+def test_recall_beyond_the_first_level_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TOP", 16)
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "GROWTH", 4)
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    monkeypatch.setattr(ann, "PART", 256)
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((60, 24))
+    rows = [(i, (centres[r.integers(60)] + 0.5 * r.standard_normal(24)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).cache()
+    assert ann.list_count(6000) == 309
+    graph = ann.fit(ann.usable(df), 6000)
+    assert 200 < len(graph.centroids) < 700
+    found, true = found_neighbours(df), neighbours(rows)
+    hits = sum(len({v for v, _ in found[q]} & {v for v, _ in true[q]}) for q in true)
+    assert set(found) == set(true) and hits / (5 * len(true)) >= 0.9
+
+
+def test_sample_is_never_short(spark):
+    from orrery.llm.runtime import hashed_sample
+
+    same = spark.createDataFrame([(1, "x")] * 5000, "a long, b string").repartition(4)
+    assert hashed_sample(same, 50, "a", "b").count() == 50 and hashed_sample(same.limit(20), 50, "a", "b").count() == 20
+
+
 def test_graph_walk_finds_nearest_centroids():
     r = np.random.default_rng(0)
     graph = ann.CentroidGraph.of(ann.unit(r.standard_normal((300, 16))))
@@ -338,6 +406,49 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_network_equals_plain_loops():
+    """Forward pass and pooling by loops; the gradient by differences."""
+    r = np.random.default_rng(5)
+    net = langid.ByteCnn.fresh(["a", "b", "c"])
+    for name in ("embed", "out", "bias"):
+        setattr(net, name, getattr(net, name).astype(float))
+    net.kernels, net.shifts = [k.astype(float) for k in net.kernels], [s + r.standard_normal(len(s)) * 0.1 for s in net.shifts]
+    x, y = r.integers(97, 123, (3, langid.WIDTH)).astype(np.uint8), np.array([0, 2, 1])
+
+    def forward(row):
+        h = []
+        for w, k, s in zip(langid.WIDTHS, net.kernels, net.shifts):
+            for f in range(langid.FILTERS):
+                z = [sum(net.embed[row[i + j]][d] * k[j * langid.DIM + d, f] for j in range(w) for d in range(langid.DIM)) for i in range(langid.WIDTH - w + 1)]
+                h.append(max(max(z) + s[f], 0.0))
+        z = [sum(a * b for a, b in zip(h, net.out[:, c])) + net.bias[c] for c in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    assert net.probabilities(x[:1])[0] == pytest.approx(forward(x[0]), rel=1e-9)
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(3), y]).mean()
+    for w, g in zip(net.weights, net.gradient(x, y)):
+        flat, given = w.reshape(-1), g.reshape(-1)
+        for i in {int(np.abs(given).argmax()), *r.integers(0, len(flat), 6).tolist()}:
+            held = flat[i]
+            flat[i] = held + 1e-6
+            up = loss()
+            flat[i] = held - 1e-6
+            down = loss()
+            flat[i] = held
+            assert given[i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+@pytest.mark.parametrize("doc_id", [1, 4, 8])
+def test_language_of_many_equal_rows(spark, doc_id):
+    df = spark.range(40_000).selectExpr(f"cast({doc_id} as long) doc_id", "'the cat sat on the mat by the door' text", "'en' lang", "1 _has", "2 _lang")
+    found = langid.identify(df.repartition(4)).groupBy("lang_pred").count().collect()
+    assert [(r.lang_pred, r["count"]) for r in found] == [("en" if zlib.crc32(str(doc_id).encode()) % 4 != 2 else "und", 40_000)]
+    if found[0].lang_pred == "en":
+        kept = langid.filter_language(df)
+        assert kept.columns == df.columns and kept.where("_has = 1 AND _lang = 2").count() == 40_000
+
+
 def test_shards(spark, docs, texts):
     rows = sharding.shard_by_bytes(docs, 16).collect()
     bins = collections.defaultdict(list)
