@@ -10,7 +10,8 @@ Prediction reads texts only: no language, source or id.
 
 Defined results: null text, or text without a letter: ``und`` with score 0; texts of any length are read
 whole; rows with null lang are not learned from; without any labelled row every text is ``und``; repeated
-rows are predicted one by one; an empty table gives an empty result.
+rows are predicted one by one; languages of equal probability: the first by name; an empty table gives an
+empty result; columns of any name are kept by ``predict`` and ``filter_language``, ``identify`` ignores them.
 """
 
 from __future__ import annotations
@@ -70,32 +71,39 @@ class ByteCnn:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return [self.embed, *self.kernels, *self.shifts, self.out, self.bias]
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Gradient of the mean cross-entropy by each of ``weights``; only the positions of the maxima take part."""
+        h, places = self.hidden(x, trace=True)
+        z = h @ self.out + self.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(x)), y] -= 1
+        p /= len(x)
+        dh = (p @ self.out.T) * (h > 0)
+        d_embed, d_kernels, d_shifts = np.zeros_like(self.embed), [], []
+        for j, (w, k, at) in enumerate(zip(WIDTHS, self.kernels, places)):
+            d = dh[:, j * FILTERS : (j + 1) * FILTERS]
+            symbols = np.take_along_axis(x[:, None, :], at[:, :, None] + np.arange(w), 2)  # n, filters, w
+            patch = self.embed[symbols].reshape(len(x), FILTERS, w * DIM)
+            d_kernels.append(np.einsum("nf,nfk->kf", d, patch))
+            d_shifts.append(d.sum(0))
+            np.add.at(d_embed, symbols.reshape(-1), (d[:, :, None] * k.T[None]).reshape(-1, DIM))
+        return [d_embed, *d_kernels, *d_shifts, h.T @ p, p.sum(0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ByteCnn:
-        """Adam on cross-entropy; only the positions of the maxima get gradients."""
+        """Adam on cross-entropy."""
         r = np.random.default_rng(seed)
-        weights = [self.embed, *self.kernels, *self.shifts, self.out, self.bias]
-        first, second, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
+        first, second, t = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights], 0
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), BATCH):
-                xb, yb = x[order[i : i + BATCH]], y[order[i : i + BATCH]]
-                h, places = self.hidden(xb, trace=True)
-                z = h @ self.out + self.bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(xb)), yb] -= 1
-                p /= len(xb)
-                dh = (p @ self.out.T) * (h > 0)
-                d_embed, d_kernels, d_shifts = np.zeros_like(self.embed), [], []
-                for j, (w, k, at) in enumerate(zip(WIDTHS, self.kernels, places)):
-                    d = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                    symbols = np.take_along_axis(xb[:, None, :], at[:, :, None] + np.arange(w), 2)  # n, filters, w
-                    patch = self.embed[symbols].reshape(len(xb), FILTERS, w * DIM)
-                    d_kernels.append(np.einsum("nf,nfk->kf", d, patch))
-                    d_shifts.append(d.sum(0))
-                    np.add.at(d_embed, symbols.reshape(-1), (d[:, :, None] * k.T[None]).reshape(-1, DIM))
+                own = order[i : i + BATCH]
                 t += 1
-                for w, g, m, v in zip(weights, [d_embed, *d_kernels, *d_shifts, h.T @ p, p.sum(0)], first, second):
+                for w, g, m, v in zip(self.weights, self.gradient(x[own], y[own]), first, second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     w -= (STEP / (1 + t / 400) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -146,14 +154,23 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> ByteCnn | None:
     return ByteCnn.fresh(langs).train(x, y) if len(langs) else None
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, made longer until no column has that name (names are compared as Spark does, without case)."""
+    held = {c.lower() for c in columns}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
 def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> tuple[Column, DataFrame]:
-    """``docs`` with a struct column ``_lang`` (lang_pred, score), and the column that holds it."""
+    """``docs`` with a further struct column (lang_pred, score), and that column; its name is one that ``docs`` lacks."""
     spark = docs.sparkSession
     arrow_limits(spark)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    has, lang = free_name(docs.columns, "_has"), free_name(docs.columns, "_lang")
     if model is None:
-        return F.col("_lang"), docs.withColumn("_lang", nothing)
+        return F.col(lang), docs.withColumn(lang, nothing)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -165,7 +182,8 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> tuple
             p = np.concatenate(p) if p else np.zeros((0, len(names)))
             yield pa.StructArray.from_arrays([pa.array(names[p.argmax(1)], pa.string()), pa.array(np.minimum(p.max(1), 1.0), pa.float64())], names=["lang_pred", "score"])
 
-    return F.col("_lang"), docs.withColumn("_has", letters).withColumn("_lang", best(F.when(F.col("_has"), F.col(text)))).withColumn("_lang", F.when(F.col("_has"), F.col("_lang")).otherwise(nothing)).drop("_has")
+    rows = docs.withColumn(has, letters).withColumn(lang, best(F.when(F.col(has), F.col(text))))
+    return F.col(lang), rows.withColumn(lang, F.when(F.col(has), F.col(lang)).otherwise(nothing)).drop(has)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
