@@ -11,11 +11,13 @@ is kept in it as one further child.  Tasks send distinct byte strings of DEPTH +
 where they are summed.  A range holds all strings whose last ``TOP`` + 1 context bytes are the same, hence whole
 subtrees below depth TOP, and rebuilds them from the summed strings; those are never collected.  The nodes of
 depth TOP or less are summed over the ranges and broadcast: there are 255 for each pair of neighbouring bytes at
-most.  Groups of documents ask the ranges for the probabilities of their distinct byte strings.
-Unigram
-counts for the base score stay distributed as well: the same groups ask hash ranges for the counts of their words.
+most.  Groups of documents ask the ranges for the probabilities of their distinct byte strings.  Unigram counts for the base score
+stay distributed as well: the same groups ask hash ranges for the counts of their words.
 
-Defined results: null and empty texts have the end token alone; texts are lower-cased in A-Z; rows with a
+Word counts are kept by 64-bit hashes of the words (two words in a corpus of 10**9 distinct ones share one with
+probability 0.03; their counts would then be added).
+
+Defined results: null and empty texts have the end token alone; texts of any length are read whole; equal texts get equal scores; texts are lower-cased in A-Z; rows with a
 null doc_id are scored but not learned from; repeated rows count each time; without training rows every bit
 has probability one half; an empty table gives an empty result; other columns are ignored.
 """
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 
 from orrery.llm import packed as pk
 from orrery.llm import textblocks as tb
+from orrery.llm.groups import from_blob, packed
 from orrery.llm.runtime import arrow_limits, groups_for, table
 
 DEPTH, PAD, END = 5, 0xFE, 0xFF  # neither byte occurs in UTF-8
 LEAST, TOP = 2, 2
-KEPT_SHARE = 1 << 18  # a former cut, which a test still names: nothing here depends on it
-GROUP_BYTES, RANGE_BYTES, MOST_RANGES = 4 << 20, 8 << 20, 1 << 16
+GROUP_BYTES, RANGE_BYTES, MOST_RANGES = 4 << 20, 8 << 20, 1 << 14
 BLOCK = 1 << 20
 PIECE = 1 << 18
 WORDS, STRINGS = 0, 1
@@ -366,9 +368,7 @@ def string_keys(rows: pa.Table) -> np.ndarray:
 
 
 def _ask(ranges: int):
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        group = rows["grp"][0].as_py()
+    def ask(group: int, rows: pa.Table) -> pa.Table:
         b, keys, at = tokens(rows)
         learned = rows["learned"].to_numpy()
         mine = np.concatenate([learned[b.doc], learned])
@@ -378,6 +378,11 @@ def _ask(ranges: int):
         strings = strings.append_column("counts", pa.nulls(strings.num_rows, pa.binary()))
         return pa.concat_tables(x.append_column("kind", pa.array(np.full(x.num_rows, kind, np.int32))) for x, kind in ((words, WORDS), (strings, STRINGS)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, blob in zip(batch["grp"].to_pylist(), batch["rows"]):
+                yield from ask(group, from_blob(blob.as_buffer())).to_batches()
+
     return run
 
 
@@ -427,30 +432,26 @@ def _answer(shared):
 
 
 def _score(n_train: int, n_seen: int):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        if not rows.num_rows:
-            n = known = np.zeros(0, np.int64)
-            base = score = np.zeros(0)
-        else:
-            found = sorted(zip(answers["kind"].to_pylist(), answers["rng"].to_pylist(), answers["found"].to_pylist()))
-            told = lambda kind, of: np.concatenate([pk.unplanes(x, of) for k, _, x in found if k == kind])
-            b, keys, at = tokens(rows)
-            c = told(WORDS, np.int64)[at]
-            each = np.log10((c + 1) / (n_train + n_seen + 1))
-            words = len(b.h)
-            n = np.diff(b.first) + 1
-            known = tb.per_text(b, c[:words] > 0) + (c[words:] > 0)
-            total = np.concatenate([[0], np.cumsum(each[:words])])
-            base = total[b.first[1:]] - total[b.first[:-1]] + each[words:]
-            held = []
-            for batch in rows.select(["text"]).to_batches():
-                for x in tb.blocks(batch, most=BLOCK):
-                    strings, off = byte_strings(x["text"])
-                    distinct, inverse = np.unique(placed(strings), return_inverse=True)
-                    held.append((distinct, inverse.astype(np.int32), off))
-            keys, p = np.unique(np.concatenate([x for x, _, _ in held])), told(STRINGS, np.float32)
-            score = np.concatenate([np.add.reduceat(p[np.searchsorted(keys, x)].astype(float)[inverse], off[:-1]) for x, inverse, off in held])
+    def run(groups: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = from_blob(groups["rows"][0].as_buffer())
+        found = sorted(zip(answers["kind"].to_pylist(), answers["rng"].to_pylist(), answers["found"].to_pylist()))
+        told = lambda kind, of: np.concatenate([pk.unplanes(x, of) for k, _, x in found if k == kind])
+        b, keys, at = tokens(rows)
+        c = told(WORDS, np.int64)[at]
+        each = np.log10((c + 1) / (n_train + n_seen + 1))
+        words = len(b.h)
+        n = np.diff(b.first) + 1
+        known = tb.per_text(b, c[:words] > 0) + (c[words:] > 0)
+        total = np.concatenate([[0], np.cumsum(each[:words])])
+        base = total[b.first[1:]] - total[b.first[:-1]] + each[words:]
+        held = []
+        for batch in rows.select(["text"]).to_batches():
+            for x in tb.blocks(batch, most=BLOCK):
+                strings, off = byte_strings(x["text"])
+                distinct, inverse = np.unique(placed(strings), return_inverse=True)
+                held.append((distinct, inverse.astype(np.int32), off))
+        keys, p = np.unique(np.concatenate([x for x, _, _ in held])), told(STRINGS, np.float32)
+        score = np.concatenate([np.add.reduceat(p[np.searchsorted(keys, x)].astype(float)[inverse], off[:-1]) for x, inverse, off in held])
         return pa.table({
             "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array(np.full(len(n), n_train), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
@@ -467,12 +468,12 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     marked = docs.select("doc_id", "text", F.coalesce(remainder == held, F.lit(False)).alias("held_out"), F.coalesce(remainder != held, F.lit(False)).alias("learned"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     all_bytes = int(marked.agg(F.sum(size)).first()[0] or 0)
-    groups, ranges = groups_for(all_bytes, GROUP_BYTES), range_count(all_bytes)
+    ranges = range_count(all_bytes)
     strings = table(learned_strings(marked.where("learned"), ranges), "strings")
     shared = spark.sparkContext.broadcast(shared_top(strings))
 
-    grouped = marked.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    asked = grouped.groupBy("grp").applyInArrow(_ask(ranges), pk.SENT + ", counts binary, kind int")
+    grouped = packed(marked, GROUP_BYTES)
+    asked = grouped.mapInArrow(_ask(ranges), pk.SENT + ", counts binary, kind int")
     learned = strings.select("rng", "keys", "counts", F.lit(STRINGS).alias("kind"))
     answers = asked.groupBy("kind", "rng").cogroup(learned.groupBy("kind", "rng")).applyInArrow(
         _answer(shared), "grp long, rng long, kind int, found binary, all_tokens long, seen_tokens long"
