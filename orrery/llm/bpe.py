@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm import packed as pk
 from orrery.llm import textblocks as tb
-from orrery.llm.runtime import arrow_limits, groups_for, text_bytes
+from orrery.llm.groups import from_blob, packed
+from orrery.llm.runtime import arrow_limits, ranges_for, text_bytes
 
 #: Bits of an id and of a place; the rank is above them.
 ID_BITS, PLACE_BITS = 17, 24
@@ -39,8 +40,6 @@ _TOP = ID_BITS + PLACE_BITS
 BUCKETS, FACTOR = 65521, 40503
 #: Text bytes of a group, and of what a range answers for.
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 2 << 20
-#: Bytes of rows that a task gathers before it packs them by group.
-PACK_BYTES = 16 << 20
 
 
 def parse_ranks(text: str) -> dict[bytes, int]:
@@ -153,41 +152,6 @@ def unsqueeze(raw: bytes, size: int) -> bytes:
     return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task by group, as compressed Arrow streams: less to shuffle, and to hold, than texts."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
-    held: list[pa.RecordBatch] = []
-
-    def flush() -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        held.clear()
-        grp = rows["grp"].to_numpy()
-        order = np.argsort(grp, kind="stable")
-        full, first = np.unique(grp[order], return_index=True)
-        blobs = []
-        for part in np.split(order, first[1:]):
-            sink = pa.BufferOutputStream()
-            own = rows.select(["doc_id", "text"]).take(pa.array(part))
-            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
-                out.write_table(own)
-            blobs.append(sink.getvalue().to_pybytes())
-        return pa.record_batch([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "blob"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.nbytes for b in held) > PACK_BYTES:
-            yield flush()
-    if held:
-        yield flush()
-
-
-def unpack(rows: pa.Table) -> Iterator[pa.Table]:
-    for blob in rows["blob"]:
-        with pa.ipc.open_stream(blob.as_buffer()) as stream:
-            yield stream.read_all()
-
-
 def ordered(pieces: set[str], ranges: int) -> tuple[list[bytes], np.ndarray]:
     """(pieces as bytes, hash range of each), by range, then by bytes."""
     raw = sorted(p.encode() for p in pieces)
@@ -202,25 +166,27 @@ def ordered(pieces: set[str], ranges: int) -> tuple[list[bytes], np.ndarray]:
 
 def distinct_pieces(rows: pa.Table, find) -> set[str]:
     found: set[str] = set()
-    for part in unpack(rows):
-        for text in part["text"]:
-            if text.is_valid:
-                found.update(find(text.as_py()))
+    for text in rows["text"]:
+        if text.is_valid:
+            found.update(find(text.as_py()))
     return found
 
 
 def _send(pattern: str, ranges: int):
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        raw, part = ordered(distinct_pieces(rows, regex.compile(pattern).findall), ranges)
-        full, first = np.unique(part, return_index=True)
-        cut = [*first.tolist(), len(raw)]
-        runs = [raw[a:z] for a, z in zip(cut, cut[1:])]
-        return pa.table({
-            "grp": pa.array([rows["grp"][0].as_py()] * len(runs), pa.int64()), "rng": pa.array(full, pa.int64()),
-            "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([squeeze(b"".join(r)) for r in runs], pa.binary()),
-        })
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            for group, blob in zip(batch["grp"].to_pylist(), batch["rows"]):
+                raw, part = ordered(distinct_pieces(from_blob(blob.as_buffer()), find), ranges)
+                full, first = np.unique(part, return_index=True)
+                cut = [*first.tolist(), len(raw)]
+                runs = [raw[a:z] for a, z in zip(cut, cut[1:])]
+                yield pa.record_batch({
+                    "grp": pa.array([group] * len(runs), pa.int64()), "rng": pa.array(full, pa.int64()),
+                    "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([squeeze(b"".join(r)) for r in runs], pa.binary()),
+                })
 
     return run
 
@@ -232,7 +198,10 @@ def _distinct(byte_ids: np.ndarray, unreached: dict[str, int]):
         known: dict[bytes, int] = {}
         numbers, counts = [], []
         for sizes, raw in zip(rows["sizes"].to_pylist(), rows["raw"].to_pylist()):
-            end = np.cumsum(pk.unplanes(sizes, np.uint32).astype(np.int64)).tolist()
+            size = pk.unplanes(sizes, np.uint32).astype(np.int64)
+            if size.max() >= 1 << PLACE_BITS:
+                raise ValueError(f"a piece of {size.max()} bytes: places in a piece have {PLACE_BITS} bits")
+            end = np.cumsum(size).tolist()
             raw = unsqueeze(raw, end[-1])
             numbers.append(np.fromiter((known.setdefault(raw[a:z], len(known)) for a, z in zip([0, *end], end)), np.int32, len(end)))
             counts.append(len(end))
@@ -280,15 +249,14 @@ def joined(ids: bytes, token: dict[int, bytes]) -> bytes:
 def _assemble(pattern: str, ranges: int, ranks=None):
     """The ids of every text of a group from the answers to its pieces; with ``ranks`` (shared), decoded again."""
 
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(groups: pa.Table, answers: pa.Table) -> pa.Table:
         import regex
 
-        find, doc_ids, texts = regex.compile(pattern).findall, [], []
+        find, rows = regex.compile(pattern).findall, from_blob(groups["rows"][0].as_buffer())
         known: dict[str, str] = {}
         same = known.setdefault  # texts hold one object for each distinct piece
-        for table in unpack(rows):
-            doc_ids += table["doc_id"].to_pylist()
-            texts += [[same(p, p) for p in find(t.as_py())] if t.is_valid else [] for t in table["text"]]
+        doc_ids = rows["doc_id"].to_pylist()
+        texts = [[same(p, p) for p in find(t.as_py())] if t.is_valid else [] for t in rows["text"]]
         raw, _ = ordered(set(known), ranges)
         found = sorted(zip(answers["rng"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist()))
         sizes = np.concatenate([np.zeros(0, np.int64), *(pk.unplanes(x, np.uint32).astype(np.int64) for _, x, _ in found)])
@@ -315,10 +283,9 @@ def encode(docs: DataFrame, vocabulary: Ranks, pattern: str, decoded: bool = Fal
     """
     arrow_limits(docs.sparkSession)
     _, size = text_bytes(docs)
-    groups, ranges = groups_for(size, GROUP_BYTES), groups_for(size, RANGE_BYTES)
-    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"))
-    grouped = marked.mapInArrow(_pack, "grp long, blob binary")
-    sent = grouped.groupBy("grp").applyInArrow(_send(pattern, ranges), "grp long, rng long, sizes binary, raw binary")
+    ranges = ranges_for(size, RANGE_BYTES)
+    grouped = packed(docs.select("doc_id", "text"), GROUP_BYTES)
+    sent = grouped.mapInArrow(_send(pattern, ranges), "grp long, rng long, sizes binary, raw binary")
     distinct = sent.groupBy("rng").applyInArrow(_distinct(vocabulary.byte_ids, vocabulary.unreached), "rng long, grps array<long>, counts array<long>, numbers binary, pieces array<array<long>>")
     coded = distinct.select("rng", "grps", "counts", "numbers", encode_pieces(F.col("pieces"), vocabulary).alias("coded"))
     # an exchange, so that no task runs two Python workers at once
