@@ -9,12 +9,13 @@ Rows with equal sets become one class first (its smallest doc_id stands for it).
 to its smallest member only, no pairs are emitted; documents reachable over such unconfirmed steps form a
 candidate cluster, which no link leaves.  Clusters are worked on in memory: pairs that share a band, most
 similar signature first, are confirmed on full sets unless confirmed links already join them.  A cluster
-of more than ``BLOCK`` documents is dealt into blocks and every pair of blocks is a task of its own, so no
-task holds an unbounded group.  Components of the confirmed links are the result.
+of more than ``BLOCK`` documents or ``BLOCK_BYTES`` of text is dealt into blocks and every pair of blocks is a
+task of its own, so no task holds an unbounded group.  Components of the confirmed links are the result.
 
 Defined results: without words or text a document has no shingles and stays alone; with fewer than five
 words its whole sequence is its only shingle; a null doc_id has no component (null) and is kept; rows that
-share a doc_id are one document; an empty table gives an empty result; other columns are ignored.
+share a doc_id are one document; of equally similar pairs the first by id is confirmed first; texts of any length
+are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textblocks as tb
-from orrery.llm.runtime import arrow_limits, table
+from orrery.llm.runtime import arrow_limits, release, table
 
 SHINGLE, PERMUTATIONS, BANDS = 5, 64, 32
 LEAST_PERCENT = 75
 #: Of 128 signature values, those that must agree before sets are compared: 5 standard deviations below 0.75.
 SIGNATURE_LEAST = 71
-#: Documents of a cluster that one task compares with as many others; documents in a bin of small clusters.
-BLOCK, BIN = 512, 1024
+#: Documents, and text bytes, of a cluster that one task compares with as many others; text bytes of a bin of small clusters.
+BLOCK, BLOCK_BYTES, BIN_BYTES = 512, 4 << 20, 8 << 20
+#: Tasks that share the rows of one large cluster.
+SALTS = 64
 _R = np.random.default_rng(1010)
 _XOR = _R.integers(0, 2**64 - 1, PERMUTATIONS, dtype=np.uint64)
 _MUL = _R.integers(0, 2**63 - 1, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,16 +100,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(doc, minlength=batch.num_rows).astype(np.int64)
         keys = band_keys(signature).reshape(-1)
         off = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+        size = pa.array(np.diff(tb.buffers(batch["text"])[1]))
         yield pa.record_batch(
-            [batch["doc_id"], pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(keys))],
-            ["doc_id", "n_shingles", "d1", "d2", "bands"],
+            [batch["doc_id"], size, pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(keys))],
+            ["doc_id", "size", "n_shingles", "d1", "d2", "bands"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set and its band keys, for every row."""
+    """doc_id, bytes of the text, n_shingles, a digest of the set and its band keys, for every row."""
     arrow_limits(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, size long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def confirmed(doc_id: np.ndarray, texts: pa.Array, bands: np.ndarray) -> list[tuple[int, int]]:
@@ -181,10 +185,11 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         of = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
         new = table(lower.join(of, "low").select("id", "old", F.least("low", "jump").alias("label")), "labels")
-        changed = new.where("label < old").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
+        release(labels)
+        labels = new
+        if not new.where("label < old").limit(1).count():
+            release(edges)
+            return labels.select("id", "label")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # written, so that the join has an exchange of its own on either side and a large class can be split
     classes = table(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "class_heads")
-    classed = table(sets.join(classes, ["d1", "d2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    classed = table(sets.join(classes, ["d1", "d2"]).select("doc_id", "rep", "size", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
     reps = classed.where("bands IS NOT NULL")
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -201,13 +206,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     steps = keyed.join(buckets, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     clusters = components(steps)  # id, label
 
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    bins = max(1, clusters.count() // BIN)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # repeated rows of a doc_id are one member, with its longest text
+    sized = table(clusters.join(reps.groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size")), "id"), "members")
+    bins = max(1, -(-int(sized.agg(F.sum("size")).first()[0] or 0) // BIN_BYTES))
+    # only clusters that are cut are joined, their rows dealt over tasks
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    large = sized.groupBy("label").agg(blocks.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = (
-        clusters.join(sizes, "label")
-        .withColumn("blocks", blocks).withColumn("own", spread)
+        sized.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SALTS)).cast("int")).join(large, ["label", "salt"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("pair", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
         .select(F.col("label").alias("cluster"), "pair", "id", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(-1).alias("small"))
