@@ -1,9 +1,10 @@
 """Byte-level BPE by Spark higher-order functions.
 
-Groups of documents split their texts into pieces and send each distinct one to a hash range.  There the
-distinct pieces of all groups are encoded, once each, by an expression: ``aggregate`` folds one merge after another over the array of a piece's bytes, each time the
-adjacent pair of lowest rank (the leftmost of equals), until no pair has a rank.  The ids of the distinct
-pieces then replace the pieces of each text in order.  Decoding concatenates the byte strings of ids.
+Groups of documents, as tasks read them, split their texts into pieces once: a text becomes numbers of distinct pieces,
+and each distinct piece goes to a hash range.  There the distinct pieces of all groups are encoded, once each, by an
+expression: ``aggregate`` folds one merge after another over the array of a piece's bytes, each time the adjacent pair
+of lowest rank (the leftmost of equals), until no pair has a rank.  The ids of the distinct pieces then replace the
+numbers of each text in order.  Decoding concatenates the byte strings of ids.
 
 The ranks are a literal map from pairs of ids to the id of their bytes, laid out as a perfect hash of two
 arrays (a displacement for each bucket, then the entry itself with its key), so a look-up reads two elements.
@@ -11,10 +12,11 @@ An element of the folded array holds, from the top, the rank of its pair with th
 piece and its id: the least element is the merge to make.  A token that no merges of its own bytes lead to
 still stands for a piece equal to it; those few are a second, small literal.
 
-Texts are shuffled once; of pieces, a group sends a distinct one once, so that a piece which all documents
-have reaches its range once a group.  Defined results: null and empty texts have no ids; texts of any length are read whole; repeated rows are encoded one
-by one; an empty table gives an empty result; a null doc_id is kept; other columns are ignored.  A piece of n
-bytes takes up to n folds of n steps, so a single word of 100,000 letters takes seconds.
+Texts are not shuffled, only their numbers; of pieces, a group sends a distinct one once, so that a piece which all
+documents have reaches its range once a group.  Defined results: null and empty texts have no ids; texts of any length
+are read whole; repeated rows are encoded one by one; an empty table gives an empty result; a null doc_id is kept; other
+columns are ignored.  A piece of n bytes takes up to n folds of n steps: 16,000 letters without a space take some ten
+seconds, 100,000 minutes, and a piece of 2**24 bytes or more is refused.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import packed as pk
 from orrery.llm import textblocks as tb
-from orrery.llm.groups import from_blob, packed
 from orrery.llm.runtime import arrow_limits, ranges_for, text_bytes
 
 #: Bits of an id and of a place; the rank is above them.
@@ -38,6 +40,8 @@ ID_BITS, PLACE_BITS = 17, 24
 NONE = (1 << ID_BITS) - 1
 _TOP = ID_BITS + PLACE_BITS
 BUCKETS, FACTOR = 65521, 40503
+#: Pieces of texts that are put together at once.
+ASSEMBLE = 1 << 18
 #: Text bytes of a group, and of what a range answers for.
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 2 << 20
 
@@ -152,49 +156,69 @@ def unsqueeze(raw: bytes, size: int) -> bytes:
     return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def ordered(pieces: set[str], ranges: int) -> tuple[list[bytes], np.ndarray]:
-    """(pieces as bytes, hash range of each), by range, then by bytes."""
-    raw = sorted(p.encode() for p in pieces)
-    end = np.cumsum(np.array([len(x) for x in raw], np.int64))
-    start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(raw) else end
-    joined = np.frombuffer(b"".join(raw), np.uint8)
-    h = tb.spans(joined, start, end)
-    part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    by = np.argsort(part, kind="stable")
-    return [raw[i] for i in by.tolist()], part[by]
+def ranges_of(raw: list[bytes], ranges: int) -> np.ndarray:
+    """The hash range of each piece."""
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    end = np.cumsum(size)
+    h = tb.spans(np.frombuffer(b"".join(raw), np.uint8), end - size, end)
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint32)
+
+
+def _split(pattern: str, ranges: int):
+    """Of every group its distinct pieces for each range (key: the range), and its texts as numbers of pieces (key: beyond the ranges)."""
+
+    def of(group: int, docs: list[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        numbers, counts, ids = [], [], []
+        for batch in docs:
+            ids += batch["doc_id"].to_pylist()
+            for text in batch["text"]:
+                found = find(text.as_py()) if text.is_valid else []
+                counts.append(len(found))
+                numbers.append(np.fromiter((known.setdefault(p, len(known)) for p in found), np.int32, len(found)))
+        number = np.concatenate(numbers)
+        by = np.argsort(-np.bincount(number, minlength=len(known)), kind="stable")  # most frequent first: small numbers
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by))
+        held = list(known)
+        raw = [held[i].encode() for i in by.tolist()]
+        part = ranges_of(raw, ranges)
+        order = np.argsort(part, kind="stable")
+        full, first = np.unique(part[order], return_index=True)
+        runs = [[raw[i] for i in run.tolist()] for run in np.split(order, first[1:])] if len(raw) else []
+        sizes = [pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs]
+        none = lambda n, kind: pa.nulls(n, kind)
+        yield pa.record_batch([pa.array(full, pa.int64()), pa.array([group] * len(runs), pa.int64()), pa.array(sizes, pa.binary()), pa.array([squeeze(b"".join(r)) for r in runs], pa.binary()), none(len(runs), pa.list_(pa.int64())), none(len(runs), pa.binary())], SPLIT_NAMES)
+        texts = pk.pile([pk.planes(np.array(counts, np.int64)), pk.planes(part), pk.planes(place[number])])
+        yield pa.record_batch([pa.array([ranges + group]), pa.array([group]), none(1, pa.binary()), none(1, pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.binary())], SPLIT_NAMES)
 
-
-def distinct_pieces(rows: pa.Table, find) -> set[str]:
-    found: set[str] = set()
-    for text in rows["text"]:
-        if text.is_valid:
-            found.update(find(text.as_py()))
-    return found
-
-
-def _send(pattern: str, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        for batch in batches:
-            for group, blob in zip(batch["grp"].to_pylist(), batch["rows"]):
-                raw, part = ordered(distinct_pieces(from_blob(blob.as_buffer()), find), ranges)
-                full, first = np.unique(part, return_index=True)
-                cut = [*first.tolist(), len(raw)]
-                runs = [raw[a:z] for a, z in zip(cut, cut[1:])]
-                yield pa.record_batch({
-                    "grp": pa.array([group] * len(runs), pa.int64()), "rng": pa.array(full, pa.int64()),
-                    "sizes": pa.array([pk.planes(np.array([len(x) for x in r], np.uint32)) for r in runs], pa.binary()), "raw": pa.array([squeeze(b"".join(r)) for r in runs], pa.binary()),
-                })
+        first, held, size, nth = TaskContext.get().partitionId() << 36, [], 0, 0
+        for block in (x for batch in batches for x in tb.blocks(batch, most=GROUP_BYTES)):
+            if held and size + block.nbytes > GROUP_BYTES:
+                yield from of(first | nth, held, find)
+                held, size, nth = [], 0, nth + 1
+            held.append(block)
+            size += block.nbytes
+        if held:
+            yield from of(first | nth, held, find)
 
     return run
 
 
+SPLIT = "key long, grp long, sizes binary, raw binary, ids array<long>, texts binary"
+SPLIT_NAMES = [f.split()[0] for f in SPLIT.split(", ")]
+
+
 def _distinct(byte_ids: np.ndarray, unreached: dict[str, int]):
     """One row a range: the senders, how many pieces each sent, their numbers, and the distinct pieces as byte ids."""
 
     def run(rows: pa.Table) -> pa.Table:
+        if rows["texts"][0].is_valid:  # a group's texts, which the answers will meet
+            return pa.table({n: pa.array([], t) for n, t in (("rng", pa.int64()), ("grps", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("numbers", pa.binary()), ("pieces", pa.list_(pa.list_(pa.int64()))))})
         known: dict[bytes, int] = {}
         numbers, counts = [], []
         for sizes, raw in zip(rows["sizes"].to_pylist(), rows["raw"].to_pylist()):
@@ -210,7 +234,7 @@ def _distinct(byte_ids: np.ndarray, unreached: dict[str, int]):
         lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)))
         one = lambda x: pa.array([x], pa.list_(pa.int64()))
         return pa.table({
-            "rng": pa.array([rows["rng"][0].as_py()], pa.int64()), "grps": one(rows["grp"].to_pylist()), "counts": one(counts),
+            "rng": pa.array([rows["key"][0].as_py()], pa.int64()), "grps": one(rows["grp"].to_pylist()), "counts": one(counts),
             "numbers": pa.array([pk.planes(np.concatenate(numbers))], pa.binary()), "pieces": pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), lists),
         })
 
@@ -241,37 +265,61 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(grps, pa.int64()), pa.array([batch["rng"][i].as_py()] * len(grps), pa.int64()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["grp", "rng", "sizes", "ids"])
 
 
-def joined(ids: bytes, token: dict[int, bytes]) -> bytes:
-    """The bytes that ids stand for."""
-    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+class Tokens:
+    """The bytes of all ids, side by side."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for raw, rank in ranks.items():
+            tokens[rank] = raw
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
 
-def _assemble(pattern: str, ranges: int, ranks=None):
-    """The ids of every text of a group from the answers to its pieces; with ``ranks`` (shared), decoded again."""
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, how many each has)."""
+        return gather(self.data, self.at, ids)
 
-    def run(groups: pa.Table, answers: pa.Table) -> pa.Table:
-        import regex
 
-        find, rows = regex.compile(pattern).findall, from_blob(groups["rows"][0].as_buffer())
-        known: dict[str, str] = {}
-        same = known.setdefault  # texts hold one object for each distinct piece
-        doc_ids = rows["doc_id"].to_pylist()
-        texts = [[same(p, p) for p in find(t.as_py())] if t.is_valid else [] for t in rows["text"]]
-        raw, _ = ordered(set(known), ranges)
+def binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Byte strings of these sizes from bytes side by side."""
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _assemble(ranges: int, ranks=None):
+    """The ids of every text of a group from the answers to its pieces; with ``ranks`` (shared), decoded again."""
+
+    def run(groups: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
+        names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * (ranks is not None)
+        if not groups.num_rows or not groups["texts"][0].is_valid:  # a range's pieces
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())][: len(names)], names)
+        counts, part, number = (pk.unplanes(x, k) for x, k in zip(pk.unpile(groups["texts"][0].as_py()), (np.int64, np.uint32, np.uint32)))
         found = sorted(zip(answers["rng"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist()))
         sizes = np.concatenate([np.zeros(0, np.int64), *(pk.unplanes(x, np.uint32).astype(np.int64) for _, x, _ in found)])
-        if len(sizes) != len(raw):
-            raise ValueError(f"{len(sizes)} answers to {len(raw)} pieces")
-        totals = [int(pk.unplanes(x, np.uint32).sum()) for _, x, _ in found]
-        flat = b"".join(pk.unplanes(unsqueeze(x, 4 * n), np.uint32).tobytes() for n, (_, _, x) in zip(totals, found))
-        end = (4 * np.cumsum(sizes)).tolist()
-        ids_of = {p.decode(): flat[a:z] for p, a, z in zip(raw, [0, *end], end)}
-        ids = [b"".join(map(ids_of.__getitem__, pieces)) for pieces in texts]
-        out = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
-        if ranks is not None:
-            token = {rank: raw for raw, rank in ranks.value.items()}
-            out["decoded"] = pa.array([joined(x, token) for x in ids], pa.binary())
-        return pa.table(out)
+        if len(sizes) != len(part):
+            raise ValueError(f"{len(sizes)} answers to {len(part)} pieces")
+        flat = np.concatenate([np.zeros(0, np.uint32), *(pk.unplanes(unsqueeze(x, 4 * int(pk.unplanes(n, np.uint32).sum())), np.uint32) for _, n, x in found)])
+        order = np.argsort(part, kind="stable")  # answers come by range
+        n, at = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+        n[order], at[order] = sizes, np.cumsum(sizes) - sizes
+        tokens, parts = Tokens(ranks.value) if ranks is not None else None, []
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        start = 0
+        while start < len(counts):  # some texts at a time
+            end = max(start + 1, int(np.searchsorted(edge, edge[start] + ASSEMBLE, "right")) - 1)
+            own = number[edge[start] : edge[end]]
+            size = n[own]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = flat[np.arange(upto[-1]) + np.repeat(at[own] - upto[:-1], size)]
+            each = np.diff(upto[edge[start : end + 1] - edge[start]])
+            columns = [groups["ids"][0].values.slice(start, end - start), pa.array(each), binary(ids.view(np.uint8), 4 * each)]
+            if tokens is not None:
+                data, width = tokens.decoded(ids)
+                total = np.concatenate([[0], np.cumsum(width)])
+                columns.append(binary(data, np.diff(total[np.concatenate([[0], np.cumsum(each)])])))
+            parts.append(pa.record_batch(columns, names))
+            start = end
+        return pa.Table.from_batches(parts)
 
     return run
 
@@ -279,20 +327,21 @@ def _assemble(pattern: str, ranges: int, ranks=None):
 def encode(docs: DataFrame, vocabulary: Ranks, pattern: str, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text).
 
-    With ``decoded``, also what ``decode`` gives for the ids, in the same pass.
+    With ``decoded``, also what ``decode`` gives for the ids, in the same pass.  The rows of ``docs`` must come in the same
+    order when they are read again, as those of files and tables do.
     """
     arrow_limits(docs.sparkSession)
     _, size = text_bytes(docs)
     ranges = ranges_for(size, RANGE_BYTES)
-    grouped = packed(docs.select("doc_id", "text"), GROUP_BYTES)
-    sent = grouped.mapInArrow(_send(pattern, ranges), "grp long, rng long, sizes binary, raw binary")
-    distinct = sent.groupBy("rng").applyInArrow(_distinct(vocabulary.byte_ids, vocabulary.unreached), "rng long, grps array<long>, counts array<long>, numbers binary, pieces array<array<long>>")
+    # one exchange for pieces and texts, which both uses below read
+    split = docs.select("doc_id", "text").mapInArrow(_split(pattern, ranges), SPLIT).groupBy("key")
+    distinct = split.applyInArrow(_distinct(vocabulary.byte_ids, vocabulary.unreached), "rng long, grps array<long>, counts array<long>, numbers binary, pieces array<array<long>>")
     coded = distinct.select("rng", "grps", "counts", "numbers", encode_pieces(F.col("pieces"), vocabulary).alias("coded"))
     # an exchange, so that no task runs two Python workers at once
-    answers = coded.repartition("rng").mapInArrow(_answer, "grp long, rng long, sizes binary, ids binary")
+    answers = coded.repartition("rng").mapInArrow(_answer, "grp long, rng long, sizes binary, ids binary").withColumn("key", F.col("grp") + ranges)
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks) if decoded else None
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_assemble(pattern, ranges, ranks), schema)
+    return split.cogroup(answers.groupBy("key")).applyInArrow(_assemble(ranges, ranks), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Ranks) -> DataFrame:
@@ -300,9 +349,9 @@ def decode(encoded: DataFrame, vocabulary: Ranks) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: raw for raw, rank in shared.value.items()}
+        tokens = Tokens(shared.value)
         for batch in batches:
-            texts = [joined(x.as_py(), token) for x in batch["ids"]]
+            texts = [tokens.decoded(np.frombuffer(x.as_py(), "<u4"))[0].tobytes() for x in batch["ids"]]
             yield pa.record_batch([batch["doc_id"], batch["n_tokens"], batch["ids"], pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
