@@ -7,8 +7,9 @@ length that fit the same bins are placed at once.  Its result, the plan, says fo
 length which bin and offset it gets; its size depends on the sequence length, not on the input.  Executors
 number the pieces of each length (per-partition counts, then their prefix sums) and look the plan up.
 
-Defined results: null and empty texts are the one id 1; only a document longer than a sequence is cut;
-repeated rows are packed one by one; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts are the one id 1; only a document longer than a sequence is cut, and a text of any
+length is tokenised whole; of bins with the same tightest capacity the one opened or left first is taken, and pieces of one
+length take their places by partition and position in it; repeated rows are packed one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ on.  A document whose middle byte falls in the k-th of ``shards`` equal stretche
 shard k, so shards differ by less than the longest document.
 
 A group of copies of any size is spread over range partitions by doc_id, so it never meets in one task.
-Defined results: null text has size 1 and CRC 0; null doc_id sorts first; repeated rows are placed one by
+Defined results: null text has size 1 and CRC 0; texts of any length are sized whole and never cut, so one longer than a
+shard's share fills that shard; ties in the order are rows equal in all of it, which may change places unseen; null doc_id sorts first; repeated rows are placed one by
 one; an empty table gives an empty result; other columns of the input are ignored.
 """
 
