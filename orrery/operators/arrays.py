@@ -54,6 +54,14 @@ def collect_vectors(df: DataFrame, key: str, column: str) -> tuple[np.ndarray, n
     return rows[key].to_numpy(), matrix(rows[column])
 
 
+def collect_centroids(centroids: DataFrame | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of centroids, small enough to broadcast; what was collected before is taken as it is."""
+    ids, c = centroids if isinstance(centroids, tuple) else collect_vectors(centroids, "cluster_id", "centroid")
+    if c.nbytes > BROADCAST_BYTES:
+        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    return ids, c
+
+
 class Best:
     """The k smallest of what each of n queries was given, ties to the smaller id, with further values of those rows."""
 

@@ -19,9 +19,7 @@ def _with(schema: T.StructType, **more: T.DataType) -> T.StructType:
 
 def assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
     """``base`` with cluster_id (nearest centroid, ties to the smaller id) and dist_to_c (Euclidean)."""
-    cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
-    if c.nbytes > arrays.BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    cids, c = arrays.collect_centroids(centroids)
     shared = base.sparkSession.sparkContext.broadcast((cids.astype(np.int32), c))
     schema = _with(base.schema, cluster_id=T.IntegerType(), dist_to_c=T.DoubleType())
     names = [f.name for f in schema.fields[:-2]]
@@ -75,9 +73,7 @@ def size_histogram(assigned: DataFrame, bins: int = 10) -> DataFrame:
 
 def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int | None) -> DataFrame:
     """qid, rank, cluster_id, sqr_y: the nprobe nearest centroids of every query (all, if None), nearest first."""
-    cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
-    if c.nbytes > arrays.BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    cids, c = arrays.collect_centroids(centroids)
     shared = queries.sparkSession.sparkContext.broadcast((cids.astype(np.int32), c))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,9 +73,7 @@ def estimates(codes: DataFrame, luts: DataFrame, quantized: bool = False) -> Dat
 
 def index(assigned: DataFrame, centroids: DataFrame, book: np.ndarray, rotation: np.ndarray | None = None) -> DataFrame:
     """What ``code_lists`` gives, with the vectors, from one pass in numpy: the rows that searches scan."""
-    cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
-    if c.nbytes > arrays.BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    cids, c = arrays.collect_centroids(centroids)
     shared = assigned.sparkSession.sparkContext.broadcast((cids, c, np.asarray(book, float), rotation))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,9 +60,7 @@ class Block:
 
 
 def blocks(queries: DataFrame, centroids: DataFrame, nprobe: int | None, k: int) -> Iterator[tuple[Block, Broadcast]]:
-    held = arrays.collect_vectors(centroids, "cluster_id", "centroid")
-    if held[1].nbytes > arrays.BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    held = arrays.collect_centroids(centroids)
     for part in arrays.query_parts(queries, most=max(1, arrays.HELD // max(k, len(held[0])))):
         block = Block.of(part, held, nprobe)
         yield block, queries.sparkSession.sparkContext.broadcast(block)

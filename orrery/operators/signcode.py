@@ -69,9 +69,7 @@ INDEX = "cluster_id int, vec_id long, embedding array<float>, code array<long>,
 
 def index(assigned: DataFrame, centroids: DataFrame, rotation: np.ndarray, epsilon: float = 1.9) -> DataFrame:
     """What ``build`` gives, with the vectors, from one pass of matrix products: the rows that searches scan."""
-    cids, c = arrays.collect_vectors(centroids, "cluster_id", "centroid")
-    if c.nbytes > arrays.BROADCAST_BYTES:
-        raise ValueError("centroids exceed the broadcast bound; train fewer clusters")
+    cids, c = arrays.collect_centroids(centroids)
     shared = assigned.sparkSession.sparkContext.broadcast((cids, c, np.asarray(rotation, float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

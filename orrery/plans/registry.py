@@ -43,8 +43,13 @@ def centres(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d).where(F.col("vec_id") < CLUSTERS).select(F.col("vec_id").cast("int").alias("cluster_id"), V.double(F.col("embedding")).alias("centroid"))
 
 
-def lists(spark: SparkSession, d: str) -> DataFrame:
-    return ivf.assign(base(spark, d), centres(spark, d))
+def held_centres(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids, collected once for all steps of a search."""
+    return arrays.collect_centroids(centres(spark, d))
+
+
+def lists(spark: SparkSession, d: str, c: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    return ivf.assign(base(spark, d), c or centres(spark, d))
 
 
 def codewords(spark: SparkSession, d: str):
@@ -186,7 +191,7 @@ def coarse_probe(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ivf_flat_search(spark: SparkSession, d: str) -> DataFrame:
-    return ivf.ivf_flat_search(lists(spark, d), asked(spark, d), centres(spark, d), NPROBE, K).withColumn("dist", F.round("dist", 5))
+    return _found(spark, d, NPROBE).withColumn("dist", F.round("dist", 5))
 
 
 @query
@@ -204,7 +209,8 @@ def ground_truth_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str, nprobe: int) -> DataFrame:
-    return ivf.ivf_flat_search(lists(spark, d), asked(spark, d), centres(spark, d), nprobe, K)
+    c = held_centres(spark, d)
+    return ivf.ivf_flat_search(lists(spark, d, c), asked(spark, d), c, nprobe, K)
 
 
 @query
@@ -228,7 +234,8 @@ def distance_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nprobe_sweep_recall(spark: SparkSession, d: str) -> DataFrame:
     truth = knn.exact_knn_join(base(spark, d), asked(spark, d), K)
-    found = scan.flat_search(lists(spark, d), asked(spark, d), centres(spark, d), [1, 2, 4, 8, 16], K)
+    c = held_centres(spark, d)
+    found = scan.flat_search(lists(spark, d, c), asked(spark, d), c, [1, 2, 4, 8, 16], K)
     return evaluate.sweep(found, truth).withColumn("recall", F.round("recall", 5))
 
 
@@ -274,12 +281,14 @@ def hadamard() -> np.ndarray:
     return np.where(np.bitwise_count(i[:, None] & i) % 2 == 0, 1.0, -1.0) / DIM**0.5
 
 
-def sign_index(spark: SparkSession, d: str) -> DataFrame:
-    return signcode.index(lists(spark, d), centres(spark, d), hadamard())
+def sign_searched(spark: SparkSession, d: str) -> tuple:
+    """Index, queries, centroids and estimator of the searches over sign codes."""
+    c = held_centres(spark, d)
+    return signcode.index(lists(spark, d, c), c, hadamard()), asked(spark, d), c, scan.SignEstimator(hadamard())
 
 
 def _bound_search(spark: SparkSession, d: str, p: SearchParams) -> DataFrame:
-    found = scan.bound_search(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), p)
+    found = scan.bound_search(*sign_searched(spark, d), p)
     return found.withColumn("dist", F.round("dist", 5))
 
 
@@ -330,15 +339,11 @@ def pq_quantized_distance(spark: SparkSession, d: str) -> DataFrame:
     return pq_scored(spark, d, quantized=True).select("qid", "vec_id", F.round("est", 5).alias("est"))
 
 
-def pq_index(spark: SparkSession, d: str) -> tuple[DataFrame, scan.PqEstimator]:
-    words = arrays.collect_vectors(centres(spark, d), "cluster_id", "centroid")[1]
-    book = words.reshape(len(words), DIM // 4, 4).transpose(1, 0, 2)
-    return pq.index(lists(spark, d), centres(spark, d), book), scan.PqEstimator(book)
-
-
 def _pq_search(spark: SparkSession, d: str, p: SearchParams, collector: bool) -> DataFrame:
-    index, estimator = pq_index(spark, d)
-    return scan.pq_search(index, asked(spark, d), centres(spark, d), estimator, p, collector).withColumn("dist", F.round("dist", 5))
+    c = held_centres(spark, d)
+    book = c[1].reshape(len(c[1]), DIM // 4, 4).transpose(1, 0, 2)
+    found = scan.pq_search(pq.index(lists(spark, d, c), c, book), asked(spark, d), c, scan.PqEstimator(book), p, collector)
+    return found.withColumn("dist", F.round("dist", 5))
 
 
 @query
@@ -391,16 +396,16 @@ def bucket_topk(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bound_classify(spark: SparkSession, d: str) -> DataFrame:
     """What the collector drops, accepts and verifies of each query: the last is its re-rank count."""
-    return scan.collector_counts(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), PARAMS)
+    return scan.collector_counts(*sign_searched(spark, d), PARAMS)
 
 
 @query
 def bound_classify_k500(spark: SparkSession, d: str) -> DataFrame:
-    return scan.collector_counts(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), HALF)
+    return scan.collector_counts(*sign_searched(spark, d), HALF)
 
 
 def _bucket_rerank(spark: SparkSession, d: str, p: SearchParams) -> DataFrame:
-    found = scan.collector_search(sign_index(spark, d), asked(spark, d), centres(spark, d), scan.SignEstimator(hadamard()), p)
+    found = scan.collector_search(*sign_searched(spark, d), p)
     return found.select("qid", "rank", "vec_id", F.round("dist", 5).alias("dist"), "exact")
 
 
