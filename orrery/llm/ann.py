@@ -244,16 +244,21 @@ def _places(graph, beam: int, ratio: float, most: int, rows=None, k: int = 0):
     return run
 
 
+def total(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, entry by entry from the first, so that a score is the same wherever and however it is computed."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 def scored(q: np.ndarray, x: np.ndarray, vid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, ids, scores) of the k nearest of x to each row of q; equal scores by the smaller id."""
     q, x = (np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None]) for v in (q, x))  # powers of two: exact, and no square overflows
-    qn, xn = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(np.einsum("ij,ij->i", x, x))
+    qn, xn = np.sqrt(total(q * q)), np.sqrt(total(x * x))
     for s in range(0, len(q), 256):
         rough = (q[s : s + 256] @ x.T) / (qn[s : s + 256, None] * xn)
         edge = np.partition(rough, -k, axis=1)[:, -k] if len(x) > k else np.full(len(rough), -2.0)
         for i in range(len(rough)):
             at = np.flatnonzero(rough[i] >= edge[i] - 1e-9)
-            exact = np.einsum("j,ij->i", q[s + i], x[at]) / (qn[s + i] * xn[at])
+            exact = total(q[s + i] * x[at]) / (qn[s + i] * xn[at])
             best = np.lexsort((vid[at], -exact))[:k]
             yield s + i, vid[at[best]], exact[best]
 

@@ -100,9 +100,9 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 #: Brute force; the approximate search misses none of these on small tables.
 OP6 = r"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v),
+n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, x: a + x)) AS s FROM v),
 p AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_dot_product(q.e, x.e) / (q.s * x.s) AS score
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_reduce(list_transform(list_zip(q.e, x.e), lambda p: p[1] * p[2]), lambda a, y: a + y) / (q.s * x.s) AS score
   FROM n q JOIN n x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 AND q.s > 0 AND x.s > 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM p)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
