@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from orrery.llm import packed as pk
 from orrery.llm import textblocks as tb
 from orrery.llm.groups import from_blob, packed
-from orrery.llm.runtime import arrow_limits, groups_for, table
+from orrery.llm.runtime import arrow_limits, ranges_for, table
 
 DEPTH, PAD, END = 5, 0xFE, 0xFF  # neither byte occurs in UTF-8
 LEAST, TOP = 2, 2
-GROUP_BYTES, RANGE_BYTES, MOST_RANGES = 4 << 20, 8 << 20, 1 << 14
+GROUP_BYTES, RANGE_BYTES, MOST_RANGES = 4 << 20, 8 << 20, 1 << 20
 BLOCK = 1 << 20
 PIECE = 1 << 18
 WORDS, STRINGS = 0, 1
@@ -315,7 +315,7 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def range_count(n_bytes: int) -> int:
     """A power of two, so that no range begins inside a subtree."""
-    return min(MOST_RANGES, 1 << (groups_for(n_bytes, RANGE_BYTES) - 1).bit_length())
+    return min(MOST_RANGES, 1 << (ranges_for(n_bytes, RANGE_BYTES) - 1).bit_length())
 
 
 def learned_strings(training: DataFrame, ranges: int) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 #: Text bytes that one numpy kernel call works on (a single longer text is worked on whole).
 BLOCK_BYTES = 4 << 20
-#: Hash ranges of an exchange at most; beyond it a range answers for more keys.
-MOST_RANGES = 1 << 14
+#: Hash ranges of an exchange that grow as its bytes do; beyond it they grow as the square root.
+RANGES = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,8 +75,13 @@ def groups_for(n_bytes: int, each: int = 8 << 20) -> int:
 
 
 def ranges_for(n_bytes: int, each: int) -> int:
-    """Hash ranges that groups send keys to.  Bounded, so that rows of (group, range) grow as the input, not as its square."""
-    return min(MOST_RANGES, groups_for(n_bytes, each))
+    """Hash ranges that groups send keys to, one row for each (group, range).
+
+    Both grow with the input: past ``RANGES`` ranges these grow slower, so that rows hold several keys for longer, and what
+    a range answers for grows as slowly (at 100 TB and 8 MB each to 220 MB of text).
+    """
+    n = groups_for(n_bytes, each)
+    return n if n <= RANGES else int((RANGES * n) ** 0.5)
 
 
 def thinned(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
