@@ -174,13 +174,14 @@ def _estimates(b: Block, estimator, batches: Iterator[pa.RecordBatch], lists: in
 @dataclass
 class Books:
     """Of every query: the smallest sampled distance, the width of a logical bucket, the physical bucket of each logical one,
-    and the threshold, the first physical bucket that no result is in."""
+    the threshold, the first physical bucket that no result is in, and the first bucket that must be verified."""
 
     low: np.ndarray
     delta: np.ndarray
     codes: np.ndarray
     physical: int
     th: np.ndarray | None = None
+    safe: np.ndarray | None = None
 
     def code(self, who: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Physical buckets of distances of queries ``who``; beyond the range the last."""
@@ -226,22 +227,25 @@ def code_books(index: DataFrame, block: Block, shared: Broadcast, estimator, k:
     return out
 
 
-def depth(index: DataFrame, block: Block, shared: Broadcast, books: Broadcast, estimator) -> np.ndarray:
-    """How many upper ends of bounds lie in each physical bucket of each query."""
+def depths(index: DataFrame, block: Block, shared: Broadcast, books: Broadcast, estimator) -> np.ndarray:
+    """n[i, l, u]: rows of query i whose lower end lies in physical bucket l and whose upper end lies in u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, book = shared.value, books.value
-        n = np.zeros((len(b.qids), book.physical), np.int64)
+        p = book.physical
+        n = np.zeros(len(b.qids) * p * p, np.int64)
         for who, _, est, half in _estimates(b, estimator, batches):
-            code = book.code(who, est + half)
-            np.add.at(n, (np.broadcast_to(who[:, None], code.shape), code), 1)
-        i, code = np.nonzero(n)
-        yield pa.record_batch([pa.array(i), pa.array(code), pa.array(n[i, code])], ["i", "code", "n"])
-
-    counts = probed_rows(index, block, *estimator.columns).mapInArrow(run, "i long, code long, n long").groupBy("i", "code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((len(block.qids), books.value.physical), np.int64)
-    out[counts["i"].to_numpy(), counts["code"].to_numpy()] = counts["n"].to_numpy()
-    return out
+            cell = (who[:, None] * p + book.code(who, est - half)) * p + book.code(who, est + half)
+            found, times = np.unique(cell, return_counts=True)
+            n[found] += times
+        cell = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(cell), pa.array(n[cell])], ["cell", "n"])
+
+    p = books.value.physical
+    counts = probed_rows(index, block, *estimator.columns).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(block.qids) * p * p, np.int64)
+    out[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    return out.reshape(-1, p, p)
 
 
 def threshold(n: np.ndarray, k: int) -> np.ndarray:
@@ -250,30 +254,21 @@ def threshold(n: np.ndarray, k: int) -> np.ndarray:
     return np.where(reached.any(1), reached.argmax(1) + 1, n.shape[1])
 
 
-def _collector(index: DataFrame, queries: DataFrame, centroids: DataFrame, estimator, p: SearchParams, k: int):
-    lists = sampled_lists(p.nprobe)
-    for block, shared in blocks(queries, centroids, p.nprobe, k):
-        books = code_books(index, block, shared, estimator, k, lists, p)
-        first = queries.sparkSession.sparkContext.broadcast(books)
-        books.th = threshold(depth(index, block, shared, first, estimator), k)
-        yield block, shared, queries.sparkSession.sparkContext.broadcast(books)
+def safe_bucket(n: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """The first bucket that a row reaches down to which also reaches the threshold bucket: rows that end below are certain."""
+    lower, upper = np.arange(n.shape[1])[:, None], np.arange(n.shape[1])[None, :]
+    open_ = (n > 0) & (upper >= th[:, None, None] - 1) & (lower < th[:, None, None])
+    return np.minimum(np.where(open_.any(2), lower[:, 0], n.shape[1]).min(1, initial=n.shape[1]), th - 1)
 
 
-def _safe(index: DataFrame, block: Block, shared: Broadcast, books: Broadcast, estimator) -> np.ndarray:
-    """Of each query the first bucket that a row reaches down to which also reaches the threshold bucket: rows that end below are certain."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, book = shared.value, books.value
-        low = book.th - 1
-        for who, _, est, half in _estimates(b, estimator, batches):
-            lower, upper, th = book.code(who, est - half), book.code(who, est + half), book.th[who][:, None]
-            low[who] = np.minimum(low[who], np.where((upper >= th - 1) & (lower < th), lower, book.physical).min(1, initial=book.physical))
-        yield pa.record_batch([pa.array(np.arange(len(low))), pa.array(low)], ["i", "safe"])
-
-    found = probed_rows(index, block, *estimator.columns).mapInArrow(run, "i long, safe long").groupBy("i").agg(F.min("safe").alias("safe")).toArrow()
-    out = books.value.th - 1
-    out[found["i"].to_numpy()] = found["safe"].to_numpy()
-    return out
+def _collector(index: DataFrame, queries: DataFrame, centroids: DataFrame, estimator, p: SearchParams, k: int):
+    """(block, its broadcast, depths, books with thresholds) of each block, from a pass over the sampled lists and one over all probed."""
+    for block, shared in blocks(queries, centroids, p.nprobe, max(k, 16 * p.physical**2)):
+        books = code_books(index, block, shared, estimator, k, sampled_lists(p.nprobe), p)
+        n = depths(index, block, shared, queries.sparkSession.sparkContext.broadcast(books), estimator)
+        books.th = threshold(n.sum(1), k)
+        books.safe = safe_bucket(n, books.th)
+        yield block, shared, n, books
 
 
 CLASSES = ("drop", "accept", "verify")
@@ -286,23 +281,14 @@ def classes(lower: np.ndarray, upper: np.ndarray, th: np.ndarray, safe: np.ndarr
 
 def collector_counts(index: DataFrame, queries: DataFrame, centroids: DataFrame, estimator: SignEstimator, p: SearchParams) -> DataFrame:
     """qid, class, n: what the collector does with the rows of each query; those verified are its re-rank count."""
-
-    def scan(block: Block, shared: Broadcast, books: Broadcast) -> DataFrame:
-        safe = _safe(index, block, shared, books, estimator)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b, book = shared.value, books.value
-            n = np.zeros((len(b.qids), 3), np.int64)
-            for who, _, est, half in _estimates(b, estimator, batches):
-                found = classes(book.code(who, est - half), book.code(who, est + half), book.th[who], safe[who])
-                for c in range(3):
-                    n[who, c] += (found == c).sum(1)
-            i, c = np.nonzero(n)
-            yield pa.record_batch([pa.array(b.qids[i]), pa.array(np.array(CLASSES, object)[c], pa.string()), pa.array(n[i, c])], ["qid", "class", "n"])
-
-        return probed_rows(index, block, *estimator.columns).mapInArrow(run, "qid long, class string, n long")
-
-    return union([scan(*x) for x in _collector(index, queries, centroids, estimator, p, p.k)]).groupBy("qid", "class").agg(F.sum("n").alias("n"))
+    found = []
+    codes = np.arange(p.physical)
+    for block, _, n, books in _collector(index, queries, centroids, estimator, p, p.k):
+        of = classes(np.repeat(codes, p.physical)[None], np.tile(codes, p.physical)[None], books.th, books.safe)
+        for c, name in enumerate(CLASSES):
+            rows = (n.reshape(len(n), -1) * (of == c)).sum(1)
+            found += [(int(q), name, int(x)) for q, x in zip(block.qids, rows) if x]
+    return queries.sparkSession.createDataFrame(found, "qid long, class string, n long")
 
 
 def collector_search(index: DataFrame, queries: DataFrame, centroids: DataFrame, estimator: SignEstimator, p: SearchParams) -> DataFrame:
@@ -314,14 +300,12 @@ def collector_search(index: DataFrame, queries: DataFrame, centroids: DataFrame,
     """
 
     def scan(block: Block, shared: Broadcast, books: Broadcast) -> DataFrame:
-        safe = _safe(index, block, shared, books, estimator)
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, book = shared.value, books.value
             certain, best = Best(len(b.qids), p.k), Best(len(b.qids), p.k)
             for who, rows, est, half in _estimates(b, estimator, batches):
                 vec, x = rows["vec_id"].to_numpy(), None
-                found = classes(book.code(who, est - half), book.code(who, est + half), book.th[who], safe[who])
+                found = classes(book.code(who, est - half), book.code(who, est + half), book.th[who], book.safe[who])
                 for i, row in enumerate(found):
                     if len(at := np.flatnonzero(row == 1)):
                         certain.give(who[i], (est - half)[i, at], vec[at])
@@ -334,7 +318,8 @@ def collector_search(index: DataFrame, queries: DataFrame, centroids: DataFrame,
 
         return probed_rows(index, block, "vec_id", "embedding", *estimator.columns).mapInArrow(run, FOUND + ", exact boolean")
 
-    found = union([scan(*x) for x in _collector(index, queries, centroids, estimator, p, p.k)])
+    send = queries.sparkSession.sparkContext.broadcast
+    found = union([scan(block, shared, send(books)) for block, shared, _, books in _collector(index, queries, centroids, estimator, p, p.k)])
     return top_k(found, p.k, dist=("exact", "dist")).select("qid", "rank", "vec_id", "dist", "exact")
 
 
@@ -406,7 +391,9 @@ def pq_search(index: DataFrame, queries: DataFrame, centroids: DataFrame, estima
     With ``collector`` the bucket threshold is found first, so that a task only holds and measures rows below it.
     """
     if collector:
-        parts = [_best_estimates(index, block, shared, books, estimator, p) for block, shared, books in _collector(index, queries, centroids, estimator, p, p.num_cand)]
+        send = queries.sparkSession.sparkContext.broadcast
+        found = _collector(index, queries, centroids, estimator, p, p.num_cand)
+        parts = [_best_estimates(index, block, shared, send(books), estimator, p) for block, shared, _, books in found]
     else:
         parts = [_best_estimates(index, block, shared, None, estimator, p) for block, shared in blocks(queries, centroids, p.nprobe, p.num_cand)]
     best = top_k(union(parts), p.num_cand, dist="est").drop("rank", "est")
